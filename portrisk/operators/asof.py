@@ -39,15 +39,20 @@ def window_by_as_of(prices: DataFrame, as_ofs: DataFrame, days: int = C.HISTORY_
     )
 
 
-def asof_join(left: DataFrame, ts: str, right: DataFrame, valid_from: str) -> DataFrame:
+BROADCAST_HISTORY_ROWS = 50_000
+
+
+def asof_join(
+    left: DataFrame, ts: str, right: DataFrame, valid_from: str, broadcast_rows: int = BROADCAST_HISTORY_ROWS
+) -> DataFrame:
     """Attach to each left row the latest right row with ``valid_from <= ts``.
 
     Right rows (a snapshot history: at most one row per refresh) become validity
     intervals listed once per day they touch, and left rows join on their day.
     Left rows past the newest snapshot look it up on its own day, so nothing is
     listed beyond it and the left side is read once.  Rows older than the first
-    snapshot come back with nulls.  Spark broadcasts the right side if its measured
-    size allows; otherwise adaptive execution splits a hot day.
+    snapshot come back with nulls.  The history is counted and broadcast if it is
+    short; a longer one is joined by shuffle, where adaptive execution splits a hot day.
     """
     payload = [c for c in right.columns if c != valid_from]
     start = F.to_date(F.col(valid_from))
@@ -56,6 +61,8 @@ def asof_join(left: DataFrame, ts: str, right: DataFrame, valid_from: str) -> Da
         .withColumn("_day", F.explode(F.sequence(start, F.coalesce(F.to_date("_next"), start), F.expr("interval 1 day"))))
         .select("_day", "_next", valid_from, *payload)
     )
+    if right.select(valid_from).limit(broadcast_rows + 1).count() <= broadcast_rows:
+        spans = F.broadcast(spans)
     newest_day = right.agg(F.max(start)).scalar()
     requests = left.withColumn("_day", F.least(F.to_date(ts), newest_day)).alias("l")
     cond = (

@@ -19,19 +19,19 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrisk import config as C
 from portrisk.functions.scalar import sigmoid
-from portrisk.operators.explain import attach_scores
+from portrisk.operators.blocks import sum_partitions
+from portrisk.operators.explain import make_scorer
 from portrisk.session import ensure_checkpoint_dir
 
 CELLS_PER_BLOCK = 65_536
 CELLS_PER_PARTITION = 500_000
 REFRESH_EVERY = 10  # rounds between rewrites of the cached margins
 CHECKPOINT_EVERY = 50  # rounds between lineage cuts
-TREE_REDUCE_ABOVE = 64  # partitions
 MIN_GAIN = 1e-6
 
 
@@ -106,7 +106,7 @@ def _histogram(blocks, pending, tree, level, n_features, n_bins, subsample, seed
             cell = base + f * n_bins + xs[:, f]
             out[:size] += np.bincount(cell, weights=g, minlength=size)
             out[size : 2 * size] += np.bincount(cell, weights=h, minlength=size)
-    yield out
+    return out
 
 
 def best_splits(hist, lo, hi, signs, allowed, reg_lambda, min_child):
@@ -265,14 +265,14 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
         state.count()
         cells.unpersist()
         try:
-            trees, losses = self._boost(state, cuts, signs, parts, depth, eta)
+            trees, losses = self._boost(state, cuts, signs, depth, eta)
         finally:
             state.unpersist()
         best = int(np.argmin(losses)) if losses else len(trees)
         kept = trees[:best] if losses else trees
         return MonotoneGBTModel(json.dumps([t.to_dict() for t in kept]), base, names, depth, losses)
 
-    def _boost(self, state, cuts, signs, parts, depth, eta):
+    def _boost(self, state, cuts, signs, depth, eta):
         """Trees, and validation loss after 0, 1, 2, ... trees (empty without held rows)."""
         o = self.getOrDefault
         n_features = len(signs)
@@ -287,12 +287,9 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
         def sums(tree, level, rnd):
             waiting, shape = list(pending), (tree.feature.copy(), tree.bin.copy())
             sub, seed = o(self.subsample), (o(self.seed), rnd)
-            out = current.mapPartitions(
-                lambda it: _histogram(it, waiting, shape, level, n_features, n_bins, sub, seed)
+            return sum_partitions(
+                current, lambda it: _histogram(it, waiting, shape, level, n_features, n_bins, sub, seed)
             )
-            if parts > TREE_REDUCE_ABOVE:
-                return out.treeReduce(np.add, depth=2)
-            return out.reduce(np.add)
 
         def note_loss(vector) -> bool:
             if vector[-1] > 0:
@@ -389,17 +386,24 @@ class MonotoneGBTModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def n_trees(self) -> int:
         return len(self.tree_list())
 
-    def score(self, dataset: DataFrame, explain: bool = False) -> DataFrame:
-        scored = attach_scores(
-            dataset,
-            self.tree_list(),
-            self.getOrDefault(self.base),
-            len(self.getOrDefault(self.names)),
-            self.getOrDefault(self.depth),
-            self.getOrDefault(self.featuresCol),
-            explain,
+    def scorer(self, spark: SparkSession, explain: bool = False):
+        """Function from an array<double> feature column to the score struct."""
+        n = len(self.getOrDefault(self.names))
+        udf = make_scorer(
+            spark, self.tree_list(), self.getOrDefault(self.base), n, self.getOrDefault(self.depth), explain
         )
-        return scored.withColumn("churn_probability", sigmoid(F.col("margin")))
+        return lambda features: udf(*[F.get(features, F.lit(i)) for i in range(n)])
+
+    def score(self, dataset: DataFrame, explain: bool = False) -> DataFrame:
+        scores = self.scorer(dataset.sparkSession, explain)
+        out = dataset.withColumn("_s", scores(F.col(self.getOrDefault(self.featuresCol))))
+        out = out.withColumn("margin", F.col("_s.margin")).withColumn("churn_probability", sigmoid(F.col("margin")))
+        if explain:
+            n = len(self.getOrDefault(self.names))
+            out = out.withColumn("base_value", F.col("_s.base_value")).withColumn(
+                "contributions", F.array(*[F.col(f"_s.c{i}") for i in range(n)])
+            )
+        return out.drop("_s")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.score(dataset, explain=True)

@@ -47,6 +47,7 @@ def ks_statistic(counts: DataFrame, keys=()) -> DataFrame:
     F_ref - F_cur at a value is (difference before its bucket) + (difference inside),
     so the extremes inside a bucket are enough to finish the maximum afterwards.
     """
+    segmented = bool(keys)
     keys = [*keys, "feature"]
     sizes = counts.groupBy(*keys).agg(
         F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"), prefix.boundaries("value").alias("bounds")
@@ -56,6 +57,8 @@ def ks_statistic(counts: DataFrame, keys=()) -> DataFrame:
     def share(n: Column, of: str) -> Column:
         return F.coalesce(n / F.nullif(F.col(of), F.lit(0)), F.lit(0.0))
 
+    if not segmented:
+        sizes = F.broadcast(sizes)  # one row of 2**8 numbers per monitored feature
     local = (
         counts.join(sizes, keys)
         .withColumn("bucket", prefix.bucket_of(F.col("bounds"), "value"))

@@ -13,11 +13,10 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from portrisk import config as C
-from portrisk.functions.scalar import lookup
 
 
 def _leaf_rows(feature, value, cover, leaf: int, outcomes: dict[int, np.ndarray], n_features: int) -> np.ndarray:
@@ -119,33 +118,24 @@ def score_batch(x: np.ndarray, ensemble, n_features: int, explain: bool) -> np.n
     return out
 
 
-def attach_scores(
-    rows: DataFrame, trees: list[dict], base: float, n_features: int, depth: int, features: str, explain: bool
-) -> DataFrame:
-    """Add ``margin`` and, if asked, ``contributions`` and ``base_value``.
+def make_scorer(spark: SparkSession, trees: list[dict], base: float, n_features: int, depth: int, explain: bool):
+    """Pandas UDF over the feature columns: struct of margin, base_value and, if asked, c0, c1, ...
 
-    Only the feature columns travel to Python.  What is broadcast grows with the
-    number of trees (32 kB each at most), never with the data.
+    Only feature columns travel to Python.  What is broadcast grows with the number
+    of trees (40 kB each), never with the data.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(ensemble_tables(trees, n_features, depth))
+    shared = spark.sparkContext.broadcast(ensemble_tables(trees, n_features, depth))
     names = [f"c{i}" for i in range(n_features)] if explain else []
-    fields = ["margin", "base_value", *names]
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
+    @F.pandas_udf(", ".join(f"{f} double" for f in ["margin", "base_value", *names]))
     def scores(*cols: pd.Series) -> pd.DataFrame:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
         s = score_batch(x, shared.value, n_features, explain)
         table = {"margin": base + s[:, n_features + 1], "base_value": base + s[:, n_features]}
-        table.update({f"c{i}": s[:, i] for i in range(len(names))})
+        table.update({name: s[:, i] for i, name in enumerate(names)})
         return pd.DataFrame(table)
 
-    inputs = [F.get(features, F.lit(i)) for i in range(n_features)]
-    scored = rows.withColumn("_s", scores(*inputs)).withColumn("margin", F.col("_s.margin"))
-    if explain:
-        scored = scored.withColumn("base_value", F.col("_s.base_value")).withColumn(
-            "contributions", F.array(*[F.col(f"_s.{c}") for c in names])
-        )
-    return scored.drop("_s")
+    return scores
 
 
 def risk_drivers(contributions: Column, names=C.MODEL_FEATURES) -> Column:
@@ -154,21 +144,18 @@ def risk_drivers(contributions: Column, names=C.MODEL_FEATURES) -> Column:
     Two or more positive values: the two largest.  One: it, then the largest
     magnitude of the rest.  None: the two largest magnitudes.  Ties keep feature order.
     """
-    items = F.transform(
-        contributions,
-        lambda v, i: F.struct(
-            F.when(v > 0, 0).otherwise(1).alias("group"),
-            (-v).alias("by_value"),
-            (-F.abs(v)).alias("by_size"),
-            i.alias("i"),
-        ),
-    )
-    positive = F.array_sort(F.filter(F.transform(items, lambda s: F.struct(s["by_value"].alias("k"), s["i"].alias("i"), s["group"].alias("g"))), lambda s: s["g"] == 0))
-    by_size = F.array_sort(F.transform(items, lambda s: F.struct(s["by_size"].alias("k"), s["i"].alias("i"), s["group"].alias("g"))))
-    rest = F.filter(by_size, lambda s: s["g"] == 1)
+    def ranked(key):
+        rows = F.transform(
+            contributions,
+            lambda v, i: F.struct(key(v).alias("key"), i.alias("i"), (v > 0).alias("positive")),
+        )
+        return F.array_sort(rows)
+
+    positive = F.filter(ranked(lambda v: -v), lambda s: s["positive"])
+    by_size = ranked(lambda v: -F.abs(v))
     order = (
         F.when(F.size(positive) >= 2, positive)
-        .when(F.size(positive) == 1, F.concat(positive, rest))
+        .when(F.size(positive) == 1, F.concat(positive, F.filter(by_size, lambda s: ~s["positive"])))
         .otherwise(by_size)
     )
     labels = F.array(*[F.lit(n) for n in names])
@@ -183,5 +170,3 @@ def driver_texts(drivers: Column, reasons=None) -> Column:
         lambda n: F.coalesce(F.try_element_at(known, n), F.concat(F.lit("Feature '"), n, F.lit("'"))),
     )
 
-
-__all__ = ["attach_scores", "driver_texts", "ensemble_tables", "lookup", "risk_drivers", "score_batch"]

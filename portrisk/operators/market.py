@@ -135,33 +135,15 @@ def return_moments(windowed: DataFrame, universe=C.UNIVERSE) -> DataFrame:
     )
 
 
-def _shrinkage(moments: DataFrame, p_max: int) -> DataFrame:
-    """Ledoit-Wolf (2004) intensity toward m*I from the moment row."""
-    p = range(p_max)
-    zero = F.lit(0.0)
-    trace = total([F.coalesce(F.col(_pair(i, i)), zero) for i in p])
-    squares = total(
-        [
-            F.coalesce(F.col(_pair(i, j)) * F.col(_pair(i, j)), zero) * (1.0 if i == j else 2.0)
-            for i in p
-            for j in p
-            if i <= j
-        ]
-    )
-    present = total([F.col(f"present_{i}").cast("double") for i in p])
-    base = moments.withColumns({"_p": F.nullif(present, zero), "_trace": trace, "_squares": squares})
-    base = base.withColumn("_m", F.col("_trace") / F.col("_p"))
-    n = F.nullif(F.col("n_days").cast("double"), zero)
-    distance = (F.col("_squares") - F.col("_p") * F.col("_m") * F.col("_m")) / F.col("_p")
-    noise = (F.col("q4") / n - F.col("_squares")) / (F.col("_p") * n)
-    base = base.withColumns({"_d": distance, "_b": noise})
-    used = F.least("_b", "_d")
-    return base.withColumn(
-        "shrinkage",
-        F.when(F.col("_b").isNull(), None)
-        .when((used == 0) | (F.col("_d") == 0) | (F.col("_p") == 1), 0.0)
-        .otherwise(used / F.nullif(F.col("_d"), zero)),
-    )
+def shrink_covariance(cov: np.ndarray, q4: float, n: int) -> tuple[float, np.ndarray]:
+    """Ledoit-Wolf (2004) intensity toward m*I, and the shrunk matrix."""
+    p = len(cov)
+    m = np.trace(cov) / p
+    squares = (cov * cov).sum()
+    distance = (squares - p * m * m) / p
+    noise = min((q4 / n - squares) / (p * n), distance)
+    s = 0.0 if p == 1 or noise == 0 or distance == 0 else noise / distance
+    return s, (1 - s) * cov + s * m * np.eye(p)
 
 
 def market_snapshots(
@@ -173,35 +155,53 @@ def market_snapshots(
     """(as_of, status, n_dates, n_days, shrinkage, mu, sigma), one row per as_of.
 
     Absent assets get mean 0 and a zero covariance row.  ``status`` is ``ok`` or the
-    reason the refresh fails; failed rows carry null mu and sigma.
+    reason the refresh fails; failed rows carry null mu and sigma.  Only the moment
+    rows, one per snapshot, reach Python.
     """
     k = len(universe)
     p = range(k)
-    rows = _shrinkage(return_moments(windowed, universe), k)
-    zero = F.lit(0.0)
     status = (
         F.when(F.col("n_dates") < minimum, "insufficient_history")
         .when(F.col("n_days") == 0, "no_complete_date")
         .when(F.col("infinite"), "infinite_return")
         .otherwise("ok")
     )
-    ok = F.col("status") == "ok"
-    s = F.col("shrinkage")
-
-    def entry(i: int, j: int) -> Column:
-        cov = (1 - s) * F.col(_pair(i, j))
-        if i == j:
-            cov = cov + F.when(F.col(f"present_{i}"), s * F.col("_m"))
-        return F.coalesce(trading_days * cov, zero)
+    rows = return_moments(windowed, universe).select(
+        "as_of",
+        status.alias("status"),
+        "n_dates",
+        "n_days",
+        "q4",
+        F.array(*[F.col(f"present_{i}") for i in p]).alias("present"),
+        F.array(*[F.col(f"mean_{i}") for i in p]).alias("mean"),
+        F.array(*[F.col(_pair(i, j)) for i in p for j in p]).alias("cov"),
+    )
 
-    return rows.withColumn("status", status).select(
+    @F.pandas_udf("shrinkage double, mu array<double>, sigma array<array<double>>")
+    def finish(status: pd.Series, n: pd.Series, q4: pd.Series, present: pd.Series, mean: pd.Series, cov: pd.Series) -> pd.DataFrame:
+        out = []
+        for st, days, fourth, here, means, flat in zip(status, n, q4, present, mean, cov):
+            if st != "ok":
+                out.append((None, None, None))
+                continue
+            at = np.flatnonzero(np.asarray(here, dtype=bool))
+            full = np.asarray(flat, dtype=float).reshape(k, k)
+            s, shrunk = shrink_covariance(full[np.ix_(at, at)], fourth, days)
+            sigma, mu = np.zeros((k, k)), np.zeros(k)
+            sigma[np.ix_(at, at)] = trading_days * shrunk
+            mu[at] = trading_days * np.asarray(means, dtype=float)[at]
+            out.append((s, mu.tolist(), sigma.tolist()))
+        return pd.DataFrame(out, columns=["shrinkage", "mu", "sigma"])
+
+    done = rows.withColumn("_f", finish("status", "n_days", "q4", "present", "mean", "cov"))
+    return done.select(
         "as_of",
         "status",
         "n_dates",
         "n_days",
-        F.when(ok, s).alias("shrinkage"),
-        F.when(ok, F.array(*[F.coalesce(trading_days * F.col(f"mean_{i}"), zero) for i in p])).alias("mu"),
-        F.when(ok, F.array(*[F.array(*[entry(i, j) for j in p]) for i in p])).alias("sigma"),
+        F.col("_f.shrinkage").alias("shrinkage"),
+        F.col("_f.mu").alias("mu"),
+        F.col("_f.sigma").alias("sigma"),
     )
 
 

@@ -7,7 +7,6 @@ assignment is a plain column expression and persistence is the ML writer.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from portrisk import config as C
 from portrisk.functions.arrays import one_hot, total
+from portrisk.operators.blocks import matrix_blocks, sum_partitions
 
 SEED_ROWS = 2000
 
@@ -69,7 +69,7 @@ def fit_kmeans(
     """Best centres of all restarts and their inertia.
 
     All restarts move together, so each iteration is one pass over the data however
-    many restarts there are; a task returns restarts * k partial sums.  The k-means++
+    many restarts there are; a task returns restarts * k partial sums; a restart that has settled drops out.  The k-means++
     starting points come from the rows with the smallest hashes; every iteration
     uses all rows.
     """
@@ -81,43 +81,34 @@ def fit_kmeans(
     rng = np.random.default_rng(seed)
     centers = np.stack([_plus_plus(start, k, rng) for _ in range(restarts)])
     dims = len(columns)
-    sums = [f"s{d}" for d in range(dims)]
-    schema = "r int, c int, n double, cost double, " + ", ".join(f"{s} double" for s in sums)
+    blocks = matrix_blocks(points.select(*columns)).persist()
     inertia = np.full(restarts, np.inf)
-    for _ in range(max_iter):
-        now = centers.copy()
-
-        def partial(batches, now=now):
-            acc = np.zeros((restarts, k, 2 + dims))
-            for pdf in batches:
-                x = pdf.to_numpy(dtype=float)
-                for r in range(restarts):
-                    d = ((x[:, None, :] - now[r][None, :, :]) ** 2).sum(2)
-                    c = d.argmin(1)
-                    acc[r, :, 0] += np.bincount(c, minlength=k)
-                    acc[r, :, 1] += np.bincount(c, weights=d[np.arange(len(c)), c], minlength=k)
-                    for i in range(dims):
-                        acc[r, :, 2 + i] += np.bincount(c, weights=x[:, i], minlength=k)
-            grid = np.indices((restarts, k)).reshape(2, -1)
-            table = pd.DataFrame(acc.reshape(restarts * k, -1), columns=["n", "cost", *sums])
-            table.insert(0, "r", grid[0].astype("int32"))
-            table.insert(1, "c", grid[1].astype("int32"))
-            yield table
-
-        merged = (
-            points.select(*columns)
-            .mapInPandas(partial, schema)
-            .groupBy("r", "c")
-            .agg(*[F.sum(x).alias(x) for x in ("n", "cost", *sums)])
-            .collect()
-        )
-        inertia = np.zeros(restarts)
-        for row in merged:
-            inertia[row.r] += row.cost
-            if row.n > 0:
-                centers[row.r, row.c] = [row[s] / row.n for s in sums]
-        if ((centers - now) ** 2).sum((1, 2)).max() <= tol:
-            break
+    moving = np.arange(restarts)
+    try:
+        for _ in range(max_iter):
+            now = centers[moving].copy()
+
+            def partial(matrices, now=now):
+                acc = np.zeros((len(now), k, 2 + dims))
+                for x in matrices:
+                    for r, c in enumerate(now):
+                        d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
+                        at = d.argmin(1)
+                        acc[r, :, 0] += np.bincount(at, minlength=k)
+                        acc[r, :, 1] += np.bincount(at, weights=d.min(1), minlength=k)
+                        for i in range(dims):
+                            acc[r, :, 2 + i] += np.bincount(at, weights=x[:, i], minlength=k)
+                return acc
+
+            acc = sum_partitions(blocks, partial)
+            inertia[moving] = acc[:, :, 1].sum(1)
+            n = acc[:, :, :1]
+            centers[moving] = np.where(n > 0, acc[:, :, 2:] / np.maximum(n, 1), now)
+            moving = moving[((centers[moving] - now) ** 2).sum((1, 2)) > tol]
+            if not len(moving):
+                break
+    finally:
+        blocks.unpersist()
     best = int(np.argmin(inertia))
     return centers[best], float(inertia[best])
 
@@ -164,18 +155,9 @@ class SegmentEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         means = [stats[f].mean for f in C.CLUSTER_FEATURES]
         stds = [stats[f].std for f in C.CLUSTER_FEATURES]
         names = [f"x{i}" for i in range(len(means))]
-        points = dataset.select(*[x.alias(n) for x, n in zip(scaled(means, stds), names)]).persist()
-        try:
-            centers, cost = fit_kmeans(
-                points,
-                names,
-                self.getOrDefault(self.k),
-                self.getOrDefault(self.restarts),
-                self.getOrDefault(self.maxIter),
-                seed=self.getOrDefault(self.seed),
-            )
-        finally:
-            points.unpersist()
+        points = dataset.select(*[x.alias(n) for x, n in zip(scaled(means, stds), names)])
+        o = self.getOrDefault
+        centers, cost = fit_kmeans(points, names, o(self.k), o(self.restarts), o(self.maxIter), seed=o(self.seed))
         return SegmentEncoderModel(means, stds, centers.ravel().tolist(), cost)
 
 

@@ -1,9 +1,10 @@
 """Exact stratified split, reproducible from an id.
 
 Rows are ordered by the md5 of their id inside each label.  Because that key is
-uniform, fixed-width buckets of it are balanced: per-bucket counts place the cut,
-all other buckets are decided by a lookup, and only the bucket that holds the cut
-is ranked.  The big table is not shuffled.
+uniform, fixed-width buckets of it are balanced: per-bucket counts find the bucket
+that holds the cut, rows of all others are decided by comparing bucket numbers,
+and only rows of that one bucket (about a millionth) are ranked.  The big table is
+not shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from portrisk import config as C
 from portrisk.functions.scalar import md5_uniform
 
-BUCKETS = 4096
+BUCKETS = 1 << 20
 
 
 def stratified_split(
@@ -26,30 +27,39 @@ def stratified_split(
     out: str = "is_test",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Add a boolean column: true for the test part.
+    """Add a boolean column: true for the test part of a binary label.
 
     ceil(fraction * n) rows go to test overall; labels share the train part in
     proportion, rounded down, and the largest remainders get the missing rows.
     """
     u = md5_uniform(key, salt)
-    tagged = rows.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
-    per_bucket = tagged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    quota = _train_quota(per_bucket.groupBy(label).agg(F.sum("_n").alias("_size")), label, test_fraction)
-    running = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = (
+        rows.withColumn("_y", F.coalesce(F.col(label) == 1, F.lit(False)))
+        .withColumn("_u", u)
+        .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    )
+    per_bucket = tagged.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    quota = _train_quota(per_bucket.groupBy("_y").agg(F.sum("_n").alias("_size")), test_fraction)
+    running = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.col("_before") + F.col("_n") >= F.col("_quota")
     cuts = (
         per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .join(quota, label)
-        .select(label, "_b", (F.col("_quota") - F.col("_before")).alias("_room"), "_n")
+        .join(F.broadcast(quota), "_y")
+        .groupBy("_y")
+        .agg(
+            F.min(F.when(reached, F.struct("_b", (F.col("_quota") - F.col("_before")).alias("_room")))).alias("_cut")
+        )
+        .select("_y", F.col("_cut._b").alias("_cut"), F.col("_cut._room").alias("_room"))
     )
-    placed = tagged.join(cuts, [label, "_b"])
-    mixed = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
-    clear = placed.where(~mixed).withColumn(out, F.col("_room") <= 0)
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key))
-    cut = placed.where(mixed).withColumn(out, rank > F.col("_room"))
-    return clear.unionByName(cut).select(*rows.columns, out)
+    # Two rows, since the label is binary.
+    placed = tagged.join(F.broadcast(cuts), "_y")
+    clear = placed.where(F.col("_b") != F.col("_cut")).withColumn(out, F.col("_b") > F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy("_y").orderBy("_u", key))
+    mixed = placed.where(F.col("_b") == F.col("_cut")).withColumn(out, rank > F.col("_room"))
+    return clear.unionByName(mixed).select(*rows.columns, out)
 
 
-def _train_quota(sizes: DataFrame, label: str, test_fraction: float) -> DataFrame:
+def _train_quota(sizes: DataFrame, test_fraction: float) -> DataFrame:
     everything = Window.partitionBy(F.lit(0))
     n = F.sum("_size").over(everything)
     n_train = n - F.ceil(F.round(n * test_fraction, 9))
@@ -61,5 +71,5 @@ def _train_quota(sizes: DataFrame, label: str, test_fraction: float) -> DataFram
         .withColumn("_rest", share - F.floor(share))
     )
     missing = F.col("_n_train") - F.sum("_floor").over(everything)
-    place = F.row_number().over(everything.orderBy(F.desc("_rest"), F.asc(label)))
-    return ranked.withColumn("_quota", F.col("_floor") + F.when(place <= missing, 1).otherwise(0)).select(label, "_quota")
+    place = F.row_number().over(everything.orderBy(F.desc("_rest"), F.asc("_y")))
+    return ranked.withColumn("_quota", F.col("_floor") + F.when(place <= missing, 1).otherwise(0)).select("_y", "_quota")

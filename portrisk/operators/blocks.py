@@ -13,11 +13,16 @@ import pandas as pd
 from pyspark import RDD
 from pyspark.sql import DataFrame
 
+ROWS_PER_PARTITION = 500_000
 TREE_REDUCE_ABOVE = 64  # partitions
 
 
-def matrix_blocks(df: DataFrame) -> RDD:
-    """RDD of float64 matrices, one per Arrow batch of the (all numeric) columns."""
+def matrix_blocks(df: DataFrame, n_rows: int) -> RDD:
+    """RDD of float64 matrices, one per Arrow batch of the (all numeric) columns.
+
+    Small inputs are pulled together, so that a pass does not cost more in task
+    starts than in work.
+    """
     width = len(df.columns)
 
     def pack(batches):
@@ -25,7 +30,8 @@ def matrix_blocks(df: DataFrame) -> RDD:
             if len(pdf):
                 yield pd.DataFrame({"m": [pdf.to_numpy(dtype=np.float64).tobytes()]})
 
-    return df.mapInPandas(pack, "m binary").rdd.map(lambda r: np.frombuffer(r.m).reshape(-1, width))
+    packed = df.mapInPandas(pack, "m binary").rdd.map(lambda r: np.frombuffer(r.m).reshape(-1, width))
+    return packed.coalesce(max(1, min(packed.getNumPartitions(), -(-n_rows // ROWS_PER_PARTITION))))
 
 
 def sum_partitions(rdd: RDD, partial: Callable[[Iterator], np.ndarray]) -> np.ndarray:

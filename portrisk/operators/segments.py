@@ -81,7 +81,7 @@ def fit_kmeans(
     rng = np.random.default_rng(seed)
     centers = np.stack([_plus_plus(start, k, rng) for _ in range(restarts)])
     dims = len(columns)
-    blocks = matrix_blocks(points.select(*columns)).persist()
+    blocks = matrix_blocks(points.select(*columns), points.count()).persist()
     inertia = np.full(restarts, np.inf)
     moving = np.arange(restarts)
     try:

@@ -1,9 +1,9 @@
 """Exact stratified split, reproducible from an id.
 
 Rows are ordered by the md5 of their id inside each label.  Because that key is
-uniform, fixed-width buckets of it are balanced: per-bucket counts find the bucket
-that holds the cut, rows of all others are decided by comparing bucket numbers,
-and only rows of that one bucket (about a millionth) are ranked.  The big table is
+uniform, fixed-width buckets of it are balanced: per-bucket counts find the buckets
+that hold a cut, rows of all others are decided by comparing bucket numbers, and
+only rows of the cut buckets (about a millionth each) are ranked.  The big table is
 not shuffled.
 """
 
@@ -13,63 +13,90 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from portrisk import config as C
+from portrisk.functions.arrays import total
 from portrisk.functions.scalar import md5_uniform
 
 BUCKETS = 1 << 20
 
 
-def stratified_split(
+def stratified_parts(
     rows: DataFrame,
+    names: tuple[str, ...] = ("train", "valid", "test"),
+    fractions: tuple[float, ...] = (C.TEST_FRACTION, C.TEST_FRACTION),
     key: str = "client_id",
     label: str = "churn",
-    test_fraction: float = C.TEST_FRACTION,
     salt: str = "",
-    out: str = "is_test",
+    out: str = "part",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Add a boolean column: true for the test part of a binary label.
+    """Add the part name of every row, stratified by a binary label.
 
-    ceil(fraction * n) rows go to test overall; labels share the train part in
-    proportion, rounded down, and the largest remainders get the missing rows.
+    Fractions are taken from the end: the last part gets ceil(f * n) rows, the part
+    before it ceil(f * n) of what is left, and so on.  Labels share each remainder in
+    proportion, rounded down, and the largest rests get the missing rows.
     """
-    u = md5_uniform(key, salt)
     tagged = (
         rows.withColumn("_y", F.coalesce(F.col(label) == 1, F.lit(False)))
-        .withColumn("_u", u)
+        .withColumn("_u", md5_uniform(key, salt))
         .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     )
     per_bucket = tagged.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    quota = _train_quota(per_bucket.groupBy("_y").agg(F.sum("_n").alias("_size")), test_fraction)
+    left = per_bucket.groupBy("_y").agg(F.sum("_n").alias("_size"))
+    cuts = range(len(fractions))
+    for i in reversed(cuts):
+        left = _keep(left, fractions[len(fractions) - 1 - i]).withColumn(f"_q{i}", F.col("_size"))
     running = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.col("_before") + F.col("_n") >= F.col("_quota")
-    cuts = (
-        per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .join(F.broadcast(quota), "_y")
+    counted = per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    # One row per label value, so two.
+    found = (
+        counted.join(F.broadcast(left.drop("_size")), "_y")
         .groupBy("_y")
         .agg(
-            F.min(F.when(reached, F.struct("_b", (F.col("_quota") - F.col("_before")).alias("_room")))).alias("_cut")
+            *[F.max(f"_q{i}").alias(f"_q{i}") for i in cuts],
+            *[
+                F.min(F.when(F.col("_before") + F.col("_n") >= F.col(f"_q{i}"), F.struct("_b", "_before"))).alias(f"_c{i}")
+                for i in cuts
+            ],
         )
-        .select("_y", F.col("_cut._b").alias("_cut"), F.col("_cut._room").alias("_room"))
     )
-    # Two rows, since the label is binary.
-    placed = tagged.join(F.broadcast(cuts), "_y")
-    clear = placed.where(F.col("_b") != F.col("_cut")).withColumn(out, F.col("_b") > F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy("_y").orderBy("_u", key))
-    mixed = placed.where(F.col("_b") == F.col("_cut")).withColumn(out, rank > F.col("_room"))
-    return clear.unionByName(mixed).select(*rows.columns, out)
+    placed = tagged.join(F.broadcast(found), "_y")
+    at_cut = F.lit(False)
+    for i in cuts:
+        at_cut = at_cut | (F.col("_b") == F.col(f"_c{i}._b"))
+    labels = F.array(*[F.lit(n) for n in names])
+    passed = total([F.when(F.col("_b") > F.col(f"_c{i}._b"), 1).otherwise(0) for i in cuts])
+    clear = placed.where(~at_cut).withColumn(out, F.get(labels, passed))
+    rank = F.row_number().over(Window.partitionBy("_y", "_b").orderBy("_u", key))
+    start = F.coalesce(*[F.when(F.col("_b") == F.col(f"_c{i}._b"), F.col(f"_c{i}._before")) for i in cuts])
+    beyond = total([F.when(F.col("_pos") > F.col(f"_q{i}"), 1).otherwise(0) for i in cuts])
+    mixed = placed.where(at_cut).withColumn("_pos", start + rank).withColumn(out, F.get(labels, beyond))
+    return clear.select(*rows.columns, out).unionByName(mixed.select(*rows.columns, out))
+
+
+def stratified_split(
+    rows: DataFrame,
+    key: str = "client_id",
+    label: str = "churn",
+    test_fraction: float = C.TEST_FRACTION,
+    out: str = "is_test",
+) -> DataFrame:
+    """Two-way split with a boolean column, true for the test part."""
+    parts = stratified_parts(rows, ("train", "test"), (test_fraction,), key, label, out="_part")
+    return parts.select(*rows.columns, (F.col("_part") == "test").alias(out))
 
 
-def _train_quota(sizes: DataFrame, test_fraction: float) -> DataFrame:
+def _keep(sizes: DataFrame, fraction: float) -> DataFrame:
+    """Label sizes after ceil(fraction * n) rows have been taken away in proportion."""
     everything = Window.partitionBy(F.lit(0))
     n = F.sum("_size").over(everything)
-    n_train = n - F.ceil(F.round(n * test_fraction, 9))
-    share = F.col("_size") * F.col("_n_train") / F.col("_n_all")
+    share = F.col("_size") * F.col("_goal") / F.col("_n")
     ranked = (
-        sizes.withColumn("_n_all", n)
-        .withColumn("_n_train", n_train)
+        sizes.withColumn("_n", n)
+        .withColumn("_goal", F.col("_n") - F.ceil(F.round(F.col("_n") * fraction, 9)))
         .withColumn("_floor", F.floor(share))
         .withColumn("_rest", share - F.floor(share))
     )
-    missing = F.col("_n_train") - F.sum("_floor").over(everything)
+    missing = F.col("_goal") - F.sum("_floor").over(everything)
     place = F.row_number().over(everything.orderBy(F.desc("_rest"), F.asc("_y")))
-    return ranked.withColumn("_quota", F.col("_floor") + F.when(place <= missing, 1).otherwise(0)).select("_y", "_quota")
+    kept = F.col("_floor") + F.when(place <= missing, 1).otherwise(0)
+    return ranked.withColumn("_size", kept).drop("_n", "_goal", "_floor", "_rest")

@@ -16,7 +16,7 @@ from portrisk import config as C
 from portrisk.operators.boosting import MonotoneGBTClassifier
 from portrisk.operators.metrics import classification_report, log_loss, roc_auc
 from portrisk.operators.segments import ProfileResolver, SegmentEncoder
-from portrisk.operators.split import stratified_split
+from portrisk.operators.split import stratified_parts
 from portrisk.sources import artifacts
 from portrisk.sources.artifacts import ChurnModel
 
@@ -30,14 +30,6 @@ class TrainingResult:
     folder: str | None = None
 
 
-def three_way(labelled: DataFrame, test_fraction: float = C.TEST_FRACTION) -> DataFrame:
-    """Add ``part``: train, valid or test, stratified by label twice."""
-    first = stratified_split(labelled, test_fraction=test_fraction, out="_test")
-    rest = stratified_split(first.where(~F.col("_test")), test_fraction=test_fraction, salt="valid:", out="_valid")
-    test = first.where("_test").select(*labelled.columns, F.lit("test").alias("part"))
-    return rest.select(*labelled.columns, F.when(F.col("_valid"), "valid").otherwise("train").alias("part")).unionByName(test)
-
-
 def fit_model(parts: DataFrame, **boosting) -> ChurnModel:
     """Fit segments, profiles and classifier on rows tagged with ``part``."""
     train = parts.where("part = 'train'")
@@ -56,7 +48,7 @@ def run_training(labelled: DataFrame, root: str | None = None, **boosting) -> Tr
     """
     spark = labelled.sparkSession
     source = labelled.select("client_id", *C.ALL_FEATURES, "churn").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = three_way(source).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = stratified_parts(source).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = fit_model(parts, **boosting)
         tested = model.segments.transform(parts.where("part = 'test'"))

@@ -17,7 +17,7 @@ def total(cols: list[Column]) -> Column:
 
 
 def one_hot(index: Column, k: int) -> Column:
-    return F.array(*[F.when(index == i, 1.0).otherwise(0.0) for i in range(k)])
+    return F.transform(F.array(*[F.lit(i) for i in range(k)]), lambda i: F.when(i == index, 1.0).otherwise(0.0))
 
 
 def lower_bound(bounds: Column, value: Column, steps: int) -> Column:

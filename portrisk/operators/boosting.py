@@ -387,12 +387,11 @@ class MonotoneGBTModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return len(self.tree_list())
 
     def scorer(self, spark: SparkSession, explain: bool = False):
-        """Function from an array<double> feature column to the score struct."""
+        """Pandas UDF from the array<double> features to the score struct."""
         n = len(self.getOrDefault(self.names))
-        udf = make_scorer(
+        return make_scorer(
             spark, self.tree_list(), self.getOrDefault(self.base), n, self.getOrDefault(self.depth), explain
         )
-        return lambda features: udf(*[F.get(features, F.lit(i)) for i in range(n)])
 
     def score(self, dataset: DataFrame, explain: bool = False) -> DataFrame:
         scores = self.scorer(dataset.sparkSession, explain)

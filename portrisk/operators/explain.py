@@ -119,17 +119,17 @@ def score_batch(x: np.ndarray, ensemble, n_features: int, explain: bool) -> np.n
 
 
 def make_scorer(spark: SparkSession, trees: list[dict], base: float, n_features: int, depth: int, explain: bool):
-    """Pandas UDF over the feature columns: struct of margin, base_value and, if asked, c0, c1, ...
+    """Pandas UDF over the feature array: struct of margin, base_value and, if asked, c0, c1, ...
 
-    Only feature columns travel to Python.  What is broadcast grows with the number
+    Only that array travels to Python.  What is broadcast grows with the number
     of trees (40 kB each), never with the data.
     """
     shared = spark.sparkContext.broadcast(ensemble_tables(trees, n_features, depth))
     names = [f"c{i}" for i in range(n_features)] if explain else []
 
     @F.pandas_udf(", ".join(f"{f} double" for f in ["margin", "base_value", *names]))
-    def scores(*cols: pd.Series) -> pd.DataFrame:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+    def scores(features: pd.Series) -> pd.DataFrame:
+        x = np.array(features.tolist(), dtype=float).reshape(-1, n_features)
         s = score_batch(x, shared.value, n_features, explain)
         table = {"margin": base + s[:, n_features + 1], "base_value": base + s[:, n_features]}
         table.update({name: s[:, i] for i, name in enumerate(names)})

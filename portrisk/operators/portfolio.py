@@ -43,19 +43,17 @@ def with_bounds(clients: DataFrame, profile: str = "profile", universe=C.UNIVERS
         "crypto": F.col("crypto_ratio") / n_kind["crypto"],
         "tech": F.col("tech_stocks_ratio") / n_kind["tech"],
     }
-    clamped = [F.greatest(F.col("lb"), F.least(F.lit(cap), raw.get(a.kind, F.lit(cap)))) for a in universe]
-    rows = clients.withColumn("lb", min_weight(profile, n)).withColumn("_c", F.array(*clamped))
-    c = items(F.col("_c"), n)
-    rows = rows.withColumn("_sum", total(c)).withColumn("_room", total([cap - x for x in c]))
-    share = (1.0 - F.col("_sum")) / F.nullif(F.col("_room"), F.lit(0.0))
-    repaired = F.transform("_c", lambda x: F.least(F.lit(cap), x + (cap - x) * share))
-    full = F.array(*[F.lit(cap)] * n)
-    ub = (
-        F.when(F.col("_sum") >= 1.0 - 1e-9, F.col("_c"))
-        .when(F.col("_room") > 1e-12, repaired)
-        .otherwise(full)
-    )
-    return rows.withColumn("ub", ub).drop("_c", "_sum", "_room")
+    wanted = F.array(*[raw.get(a.kind, F.lit(cap)) for a in universe])
+    # Array functions name each intermediate once, which keeps the plan small.
+    rows = clients.withColumn("lb", min_weight(profile, n))
+    rows = rows.withColumn("_c", F.transform(wanted, lambda x: F.greatest(F.col("lb"), F.least(F.lit(cap), x))))
+    rows = rows.withColumn("_sum", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x))
+    room = n * cap - F.col("_sum")
+    share = F.when(F.col("_sum") >= 1.0 - 1e-9, 0.0).when(room > 1e-12, (1.0 - F.col("_sum")) / room)
+    # A null share means no headroom at all: everything goes to the cap.
+    rows = rows.withColumn("_share", share)
+    ub = F.transform("_c", lambda x: F.least(F.lit(cap), F.coalesce(x + (cap - x) * F.col("_share"), F.lit(cap))))
+    return rows.withColumn("ub", ub).drop("_c", "_sum", "_share")
 
 
 def bounds_long(bounded: DataFrame, keep=("client_id",), universe=C.UNIVERSE) -> DataFrame:
@@ -133,6 +131,19 @@ def solve_batch(
     return w, done
 
 
+def final_weights(gamma, lb, ub, mu, sigma) -> tuple[np.ndarray, np.ndarray]:
+    """Solved weights clipped into the box and scaled to one; the start point where the solve failed."""
+    if not len(ub):
+        return ub, np.zeros(0, bool)
+    w, ok = solve_batch(gamma, lb, ub, mu, sigma)
+    w = np.clip(w, lb, ub)
+    size = w.sum(1, keepdims=True)
+    start = np.clip(1.0 / ub.shape[1], lb, ub)
+    start = np.where(start.sum(1, keepdims=True) > 0, start, lb)
+    use = ok[:, None] & (size > 0)
+    return np.where(use, w / np.where(size > 0, size, 1.0), start / start.sum(1, keepdims=True)), ok
+
+
 def optimize_portfolios(
     clients: DataFrame, snapshot: Snapshot, probability: str = "churn_probability", flagged_only: bool = True
 ) -> DataFrame:
@@ -147,25 +158,20 @@ def optimize_portfolios(
     rows = with_bounds(gated).withColumn("gamma", risk_aversion("profile", probability))
 
     @F.pandas_udf(", ".join([*[f"w{i} double" for i in range(n)], "ok boolean"]))
-    def solved(gamma: pd.Series, lb: pd.Series, *ub: pd.Series) -> pd.DataFrame:
-        high = np.column_stack([u.to_numpy(dtype=float) for u in ub])
+    def solved(gamma: pd.Series, lb: pd.Series, ub: pd.Series) -> pd.DataFrame:
+        high = np.array(ub.tolist(), dtype=float).reshape(-1, n)
         low = np.repeat(lb.to_numpy(dtype=float)[:, None], n, axis=1)
-        if not len(high):
-            w, ok = high, np.zeros(0, bool)
-        else:
-            w, ok = solve_batch(gamma.to_numpy(dtype=float), low, high, mu, sigma)
+        w, ok = final_weights(gamma.to_numpy(dtype=float), low, high, mu, sigma)
         table = {f"w{i}": w[:, i] for i in range(n)}
         table["ok"] = ok
         return pd.DataFrame(table)
 
-    rows = rows.withColumn("_s", solved("gamma", "lb", *items(F.col("ub"), n)))
-    raw = F.array(*[F.col(f"_s.w{i}") for i in range(n)])
-    clipped = F.transform(F.arrays_zip(raw.alias("w"), F.col("ub").alias("u")), lambda s: F.greatest(F.col("lb"), F.least(s["w"], s["u"])))
-    rows = rows.withColumn("_w", clipped).withColumn("_t", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x))
-    weights = F.when(F.col("_s.ok") & (F.col("_t") > 0), F.transform("_w", lambda x: x / F.col("_t"))).otherwise(
-        start_weights(n)
+    return (
+        rows.withColumn("_s", solved("gamma", "lb", "ub"))
+        .withColumn("converged", F.col("_s.ok"))
+        .withColumn("weights", F.array(*[F.col(f"_s.w{i}") for i in range(n)]))
+        .drop("_s")
     )
-    return rows.withColumn("converged", F.col("_s.ok")).withColumn("weights", weights).drop("_s", "_w", "_t")
 
 
 def gradient(weights: Column, snapshot: Snapshot, lam: float = C.DIVERSIFICATION_LAMBDA) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from portrisk import config as C
 from portrisk.functions.arrays import one_hot, total
+from portrisk.functions.scalar import lookup
 from portrisk.operators.blocks import matrix_blocks, sum_partitions
 
 SEED_ROWS = 2000
@@ -44,8 +45,9 @@ def scaled(means, stds, features=C.CLUSTER_FEATURES) -> list[Column]:
 
 def nearest(xs: list[Column], centers) -> Column:
     """Index of the nearest centre; the first wins a tie."""
-    distances = F.array(*[total([(x - float(c)) * (x - float(c)) for x, c in zip(xs, row)]) for row in centers])
-    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+    squares = [total([(x - float(c)) * (x - float(c)) for x, c in zip(xs, row)]) for row in centers]
+    options = F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(squares)])
+    return F.array_min(options)["i"]
 
 
 def _plus_plus(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -226,11 +228,7 @@ class ProfileResolverModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return dict(zip(self.getOrDefault(self.clusters), C.PROFILES_BY_HOLDING))
 
     def profile(self, cluster: Column | str = "cluster_id") -> Column:
-        c = F.col(cluster) if isinstance(cluster, str) else cluster
-        out = None
-        for cid, name in self.mapping().items():
-            out = F.when(c == cid, name) if out is None else out.when(c == cid, name)
-        return out.otherwise(C.DEFAULT_PROFILE)
+        return lookup(self.mapping(), cluster, C.DEFAULT_PROFILE)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return dataset.withColumn("profile", self.profile())

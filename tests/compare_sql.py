@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL in DuckDB: python tests/check.py [folder] [name ...]."""
+"""Run registered queries against their SQL in DuckDB: python tests/compare_sql.py [folder] [name ...]."""
 
 from __future__ import annotations
 

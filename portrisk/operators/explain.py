@@ -135,7 +135,8 @@ def make_scorer(spark: SparkSession, trees: list[dict], base: float, n_features:
         table.update({name: s[:, i] for i, name in enumerate(names)})
         return pd.DataFrame(table)
 
-    return scores
+    # Marked nondeterministic so that filters on a score are not pushed below it and scored twice.
+    return scores.asNondeterministic()
 
 
 def risk_drivers(contributions: Column, names=C.MODEL_FEATURES) -> Column:

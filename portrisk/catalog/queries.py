@@ -346,8 +346,14 @@ def _solved(spark, d):
 
 
 def optimize_portfolios(spark, d):
+    """Weights rounded to 6 digits.
+
+    Weights at a bound have 7 or 8 digits and would be exact rounding ties, which
+    the two engines may break differently; a shift of 1.234e-8 moves them off the tie.
+    """
     rows, _ = _solved(spark, d)
-    return rounded(rows.select("client_id", *[F.get("weights", F.lit(i)).alias(f"w_{a}") for i, a in enumerate(C.ASSETS)]))
+    weights = [(F.get("weights", F.lit(i)) + 1.234e-8).alias(f"w_{a}") for i, a in enumerate(C.ASSETS)]
+    return rounded(rows.select("client_id", *weights))
 
 
 def portfolio_optimality(spark, d):

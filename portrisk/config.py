@@ -49,7 +49,7 @@ GAMMA_CHURN_SCALE = 1.0
 SIGMA_JITTER = 1e-8
 JITTER_TRIES = 20
 SOLVER_MAX_ITER = 2000
-SOLVER_TOL = 1e-10
+SOLVER_TOL = 1e-12
 DUST_WEIGHT = 0.005
 TRADING_DAYS = 252
 HISTORY_DAYS = 365

@@ -206,6 +206,18 @@ pg(k, client_id, gamma, lb, ub, w) AS (
                w[i] - (-mu[i] + gamma * list_dot_product(s[i], w) + 0.4 * (w[i] - 1.0 / 7)) / (gamma * top + 0.4)) AS y
       FROM pg, market WHERE k < 300)))
 """
+# Chance that a random interleaving of both samples stays below the observed distance:
+# inside[j + 1] after k draws is the mass at j draws from the second sample.
+_WALK = """
+walk(feature, k, m, n, d, h, inside) AS (
+  SELECT feature, 0::BIGINT, n_ref, n_cur, d, CAST(round(d * n_ref * n_cur) AS BIGINT),
+         list_transform(range(0, n_cur + 1), lambda j: CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END::DOUBLE)
+  FROM dstat
+  UNION ALL
+  SELECT feature, k + 1, m, n, d, h,
+         list_transform(range(0, n + 1), lambda j: CASE WHEN abs((k + 1 - j) * n - j * m) >= h OR j > k + 1 OR k + 1 - j > m THEN 0.0
+           ELSE (inside[j + 1] * (m - k + j) + coalesce(inside[j], 0) * (n - j + 1)) / (m + n - k) END::DOUBLE)
+  FROM walk WHERE k < m + n)"""
 _WEIGHTS = ", ".join(
     f"round(w[{i + 1}] / list_sum(w) + 1.234e-8, 6) AS w_{a}"
     for i, a in enumerate(("AAPL", "MSFT", "KO", "NVDA", "TSLA", "BTC", "ETH"))
@@ -375,6 +387,9 @@ FROM labelled l JOIN quota USING (churn)""",
     + "SELECT feature_name, drift_detected, round(p_value, 8) AS p_value, stat_test, round(ks_statistic, 8) AS ks_statistic, p_method, n_ref, n_cur FROM drift",
     "drift_ks_by_cluster": _with(ASSIGNED + _drift(_unpivoted("1.5", "assigned", "cluster_id"), "cluster_id"))
     + "SELECT cluster_id, feature_name, drift_detected, round(p_value, 8) AS p_value, stat_test, round(ks_statistic, 8) AS ks_statistic, p_method, n_ref, n_cur FROM drift",
+    "drift_ks_exact": _with(VALID + _drift(_unpivoted("1.0")), _WALK).replace("WITH", "WITH RECURSIVE", 1)
+    + """SELECT feature AS feature_name, coalesce(1 - walk.inside[n + 1] < 0.05, FALSE) AS drift_detected, round(1 - walk.inside[n + 1], 8) AS p_value,
+  'ks_2samp' AS stat_test, round(d, 8) AS ks_statistic, 'exact' AS p_method, m AS n_ref, n AS n_cur FROM walk WHERE k = m + n""",
     "retrain_decision": _with(
         VALID,
         "plain AS (" + _with("valid0 AS (SELECT * FROM valid)" + _drift(_unpivoted("1.0", "valid0"))) + "SELECT 'plain' AS sample, * FROM drift)",

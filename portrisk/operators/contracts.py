@@ -4,19 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from portrisk import config as C
 
-CLIENT_SCHEMA = T.StructType(
-    [
-        T.StructField("client_id", T.LongType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("avg_holding_days", T.IntegerType()),
-    ]
-    + [T.StructField(f, T.DoubleType()) for f in C.ALL_FEATURES[1:]]
-)
-
 # --- fixed values: (lowest, highest, lowest is exclusive) per feature -------------
 BOUNDS = {
     "avg_holding_days": (1.0, 3650.0, False),

@@ -33,11 +33,12 @@ def stratified_parts(
 
     Fractions are taken from the end: the last part gets ceil(f * n) rows, the part
     before it ceil(f * n) of what is left, and so on.  Labels share each remainder in
-    proportion, rounded down, and the largest rests get the missing rows.
+    proportion, rounded down, and the largest rests get the missing rows.  A row
+    without a key is placed by its content.
     """
     tagged = (
         rows.withColumn("_y", F.coalesce(F.col(label) == 1, F.lit(False)))
-        .withColumn("_u", md5_uniform(key, salt))
+        .withColumn("_u", F.coalesce(md5_uniform(key, salt), md5_uniform(F.to_json(F.struct(*rows.columns)), salt)))
         .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     )
     per_bucket = tagged.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))

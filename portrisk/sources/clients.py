@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from portrisk import config as C
-from portrisk.operators.contracts import CLIENT_SCHEMA
-
-# Every field as text, so that a malformed number reaches the contract check
-# instead of turning into a null at parse time.
-RAW_CSV_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in CLIENT_SCHEMA.fields])
 
 
 def read_clients(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Unchecked client rows; pass them to the contract operators.
 
-    CSV columns are matched by header name, so files may hold a subset in any order.
+    CSV columns are matched by header name and read as text, so a malformed number
+    reaches the contract check instead of turning into a null at parse time.
     """
     if fmt == "csv":
         header = spark.read.option("header", True).csv(path).columns

@@ -40,7 +40,8 @@ def market_refresh(
     """Append finished closes, then a snapshot of the last year.
 
     A refresh whose status is not ``ok`` writes no snapshot row, so readers keep the
-    previous one.
+    previous one.  Start it with ``trigger(processingTime=SNAPSHOT_TTL)``, or with
+    ``availableNow`` from a scheduler.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:

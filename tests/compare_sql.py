@@ -63,7 +63,12 @@ if __name__ == "__main__":
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
-    spark = local_session(8, **{"spark.ui.showConsoleProgress": "false"})
+    if os.environ.get("PLAIN_SESSION"):  # Spark's own defaults, as another driver may start it
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session(8, **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     bad = 0

@@ -157,6 +157,11 @@ def test_split_sizes(spark, n, every):
     assert dict(zip(parts.client_id, parts.part)) == dict(zip(again.client_id, again.part))
 
 
+def test_split_keeps_rows_without_id(spark):
+    df = spark.range(50).select(F.when(F.col("id") > 20, F.col("id")).alias("client_id"), (F.col("id") % 2).cast("int").alias("churn"), "id")
+    assert split.stratified_parts(df).count() == 50
+
+
 def test_kmeans_finds_blobs(spark):
     rng = np.random.default_rng(4)
     centers = np.array([[0, 0, 0], [5, 5, 0], [-5, 4, 3]])

@@ -78,9 +78,10 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS)
     total, z = sum(size.values()), []
     both = sum((F.col(f"n_{n}") for n in names), F.lit(0))
     for n in names:
-        if 0 < size[n] < total:
+        # Words that speak for a smaller domain: those of the largest one mostly tell languages apart.
+        if 0 < size[n] < total and n != max(names, key=lambda k: sizes.get(k, 0)):
             spread = F.sqrt(both / total * (1 / size[n] + 1 / (total - size[n])))
-            z.append(F.abs(F.col(f"n_{n}") / size[n] - (both - F.col(f"n_{n}")) / (total - size[n])) / spread)
+            z.append((F.col(f"n_{n}") / size[n] - (both - F.col(f"n_{n}")) / (total - size[n])) / spread)
     prior = [math.log((sizes.get(n, 0) + 0.5) / (sum(sizes.values()) + 0.5 * len(names))) for n in names]
     if not z:
         return [], [], prior

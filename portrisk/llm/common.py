@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,23 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame) -> DataFrame:
     """A hint to broadcast a table of counted size, no hint for a larger one. Count a table that was cut."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Groups of equal key of a stream that is sorted by it."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        same = np.ones(len(now) - 1, dtype=bool)
+        for k in key:
+            v = now.column(k).to_numpy()
+            same &= v[1:] == v[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        for x, y in zip(starts[:-1], starts[1:], strict=True):
+            yield now.slice(x, y - x)
+        rest = now.slice(starts[-1])
+    if rest is not None:
+        yield rest

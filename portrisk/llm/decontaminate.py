@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.words import column_words, mix
+from portrisk.llm.words import column_words, mix, slices
 
 MAX_EDITS = 0.2
 WALKS = 6
@@ -158,7 +158,7 @@ def _search_block(docs: DataFrame, items: list, max_edits: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, index = shared.value
         singles, doubles = BitTable(index.single), BitTable(index.pairs)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             words, edge = column_words(batch.column("_text"))
             one = np.concatenate([[0], np.cumsum(singles.hits(words))])
             two = np.concatenate([[0], np.cumsum(doubles.hits(pairs(words)))]) if len(words) else one

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, small
+from portrisk.llm.common import cut, small, sorted_groups
 from portrisk.llm.components import components
-from portrisk.llm.words import column_words, mix, shingles
+from portrisk.llm.words import column_words, mix, shingles, slices
 
 WORDS = 5
 SIMILAR = 0.8
@@ -74,7 +74,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             nodes, sketches, sizes = [], [], []
             for s in _sets(batch.column("_text"), k):
                 nodes.append(set_key(s))
@@ -120,29 +120,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Groups of equal key of a stream that is sorted by it."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([rest, now]) if rest is not None else now
-        same = np.ones(len(now) - 1, dtype=bool)
-        for k in key:
-            v = now.column(k).to_numpy()
-            same &= v[1:] == v[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        for x, y in zip(starts[:-1], starts[1:], strict=True):
-            yield now.slice(x, y - x)
-        rest = now.slice(starts[-1])
-    if rest is not None:
-        yield rest
-
-
 def _bucket_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
-    for group in _runs(batches, ("bucket",)):
+    for group in sorted_groups(batches, ("bucket",)):
         nodes = group.column("node").to_pylist()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
         x, y = np.triu_indices(len(nodes), 1)
@@ -193,7 +173,7 @@ def _tiles(members: DataFrame, similar: float) -> DataFrame:
         (F.col("part") < F.col("other")).alias("left"), (F.col("part") == F.col("other")).alias("inner"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, ("tile",)):
+        for group in sorted_groups(batches, ("tile",)):
             nodes = group.column("node").to_pylist()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
             size = np.array([len(s) for s in sets])
@@ -239,7 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, r
     wanted = cut(nodes.join(loose, "node").select("node", "root", F.col("first_id").alias("want_id")))
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             sets = list(_sets(batch.column("_text"), k))
             yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 

@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, small
-from portrisk.llm.words import mix, text_buffer, words_of
+from portrisk.llm.common import cut, small, sorted_groups
+from portrisk.llm.words import mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
 RARITY_BITS = 20
+BLOCK_BITS = 12
 #: Removed line numbers that may be broadcast: 16 MB.
 BROADCAST_LINES = 4_000_000
 
@@ -62,25 +63,34 @@ def _set_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Lines that hold the words of each cell, over all documents."""
+    """Lines that hold the words of each cell, over all documents, by classes: 0 none, 1 one line, above by eighths of powers of two."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             total += np.bincount((_lines(batch.column("_text"))[0] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    rows = docs.select(F.col("text").alias("_text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    out[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ("block",)):
+            cells = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
+            n = group.column("n").to_numpy()
+            cells[group.column("cell").to_numpy() % len(cells)] = np.minimum(255, 1 + np.ceil(8 * np.log2(n)))
+            yield pa.record_batch([pa.array([group.column("block")[0].as_py()]), pa.array([cells.tobytes()], pa.binary())], names=["block", "cells"])
+
+    counts = docs.select(F.col("text").alias("_text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    blocks = counts.withColumn("block", F.shiftright("cell", BLOCK_BITS)).repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, cells binary")
+    out = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
+    for r in blocks.collect():  # at most 2^RARITY_BITS bytes, whatever the corpus
+        out[r["block"] << BLOCK_BITS: (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["cells"], dtype=np.uint8)
+    return out
 
 
 def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
     """A row for each line: key, place, number of words, parities, and the prefix words that others may share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             words, at, row, number = _lines(batch.column("_text"))
             if len(at) < 2:
                 continue
@@ -126,7 +136,7 @@ def matching_sets(docs: DataFrame, sets: DataFrame, similar: float = SIMILAR) ->
     ids = cut(sets.join(ends, ["h1", "h2"]).select(F.col("first.doc_id").alias("want_id")).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             words, at, _, _ = _lines(batch.column("_text"))
             h1, h2 = _set_keys(words, at)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64))) if len(at) > 1 else pa.array([], pa.list_(pa.int64()))
@@ -158,7 +168,7 @@ def removed_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def _line_sets_places(docs: DataFrame) -> DataFrame:
     """Key and place of every line; text_key tells rows with equal ids apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             words, at, row, number = _lines(batch.column("_text"))
             if len(at) < 2:
                 continue

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.words import text_buffer, words_of
+from portrisk.llm.words import slices, text_buffer, words_of
 
 SAMPLE = 2500
 FEATURES = 1500
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             y = np.stack([batch.column(f"_c{j}").to_numpy(zero_copy_only=False) for j in range(len(names))], axis=1)
             for at, feature in _occurrences(batch.column("_text")):
                 pairs = np.unique(np.stack([at.astype(np.uint64), feature]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     blank = Chain(features, table, ())
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             at, number, value = blank.values(batch.column("_text"))
             edges = np.searchsorted(at, np.arange(len(batch) + 1))
             dense = [(number[a:b].tolist(), value[a:b].tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, chain: Chain, categories: dict[str, str] = CATEGORI
     names = [f"p_{c}" for c in categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "_text")):
             p = [np.round(x, 6) for x in shared.value.predict(batch.column("_text"))]
             yield pa.record_batch([batch.column("doc_id"), *map(pa.array, p)], names=["doc_id", *names])
 

@@ -7,6 +7,7 @@ of BLOCK bytes (a longer single word makes a longer block), so texts may be of a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +51,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about limit bytes of a text column, one row at least: bounds the memory of a step."""
+    offsets = text_buffer(batch.column(column))[1]
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words_of(data: np.ndarray, edges: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hash and start of every word between edges[0] and edges[-1]; no word crosses an edge.
 

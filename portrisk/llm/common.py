@@ -52,21 +52,36 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Groups of equal key of a stream that is sorted by it."""
-    rest: pa.Table | None = None
+def sorted_chunks(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """A stream that is sorted by key, cut where the key changes: about a batch at a time, groups whole."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([rest, now]) if rest is not None else now
-        same = np.ones(len(now) - 1, dtype=bool)
+        same = np.ones(len(batch) - 1, dtype=bool)
+        for k in key:
+            v = batch.column(k).to_numpy()
+            same &= v[1:] == v[:-1]
+        begins = np.flatnonzero(~same) + 1
+        if rest and any(rest[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in key):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        if len(begins):
+            yield pa.Table.from_batches([*rest, batch.slice(0, begins[-1])])
+            rest = [batch.slice(begins[-1])]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Groups of equal key of a stream that is sorted by it."""
+    for part in sorted_chunks(batches, key):
+        same = np.ones(len(part) - 1, dtype=bool)
         for k in key:
-            v = now.column(k).to_numpy()
+            v = part.column(k).to_numpy()
             same &= v[1:] == v[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        for x, y in zip(starts[:-1], starts[1:], strict=True):
-            yield now.slice(x, y - x)
-        rest = now.slice(starts[-1])
-    if rest is not None:
-        yield rest
+        edges = [0, *(np.flatnonzero(~same) + 1).tolist(), len(part)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            yield part.slice(x, y - x)

@@ -9,8 +9,9 @@ earlier one (by doc_id, then by line number) matches it, removed itself or not.
    and is left out of the postings.
 3. Prefix filter: matching sets share one of their first n - ceil(SIMILAR n) + 1 words. Postings meet by word under
    the length filter, the positional filter, and a bound from 128-bit parities of the sets: the words in
-   which two sets differ are at least the bits in which their parities do. All three are lossless.
-4. The lines of pairs that remain are read again and compared exactly.
+   which two sets differ are at least the bits in which their parities do. All three are lossless. A set needs one
+   earlier match only, so each posting yields one candidate at most, never all pairs of a group.
+4. The lines of candidate pairs are read again and compared exactly. Sets whose candidates all fail meet all of theirs.
 
 Edge cases: lines without a word and null texts are never removed or matched; rows with equal ids share their
 places, so they lose lines to smaller ids and lines only; a null id comes before all others, and its rows lose no
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, small, sorted_groups
+from portrisk.llm.common import cut, small, sorted_chunks, sorted_groups
 from portrisk.llm.words import mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
@@ -44,7 +45,7 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     words, starts = words_of(data, np.unique(offsets))
     edges = np.unique(np.concatenate([offsets, breaks]))
     line = np.searchsorted(edges, starts, side="right")
-    order = np.lexsort((words, line))
+    order = _order(line, words)
     words, line, starts = words[order], line[order], starts[order]
     new = np.ones(len(words), dtype=bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
@@ -55,6 +56,12 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return words, np.append(at, len(words)), row, number
 
 
+def _order(line: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by line, then by the upper bits of value: one sort of one number, much faster than a sort by two."""
+    bits = int(line[-1] - line[0] + 1).bit_length() if len(line) else 1
+    return np.argsort((line - line[0]).astype(np.uint64) << np.uint64(64 - bits) | value >> np.uint64(bits)) if len(line) else np.zeros(0, np.int64)
+
+
 def _set_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums over each line's distinct words."""
     if len(at) < 2:
@@ -100,7 +107,7 @@ def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
             bit = words & np.uint64(127)
             parity = [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), at[:-1]) for half in (0, 1)]
             count = rarity[(words >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-            order = np.lexsort((words, count, line))
+            order = _order(line, words >> np.uint64(8) | count.astype(np.uint64) << np.uint64(56))
             place = np.arange(len(words)) - at[:-1][line]
             prefix = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
             chosen = (place < prefix[line]) & (count[order] > 1)
@@ -117,38 +124,100 @@ def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, line int, h1 long, h2 long, n int, p0 long, p1 long, posts array<struct<word:long,at:int>>")
 
 
-def _candidates(sets: DataFrame, similar: float) -> DataFrame:
-    """Pairs of sets that the filters leave: keys of both."""
-    posts = sets.select("h1", "h2", "n", "p0", "p1", F.explode("posts").alias("p")).select("h1", "h2", "n", "p0", "p1", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
-    a, b = posts.alias("a"), posts.alias("b")
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * (similar / (1 + similar)) - F.lit(1e-9))
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & ((F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.struct("a.h1", "a.h2") < F.struct("b.h1", "b.h2")))
-                  & (F.col("a.n") >= similar * F.col("b.n") - F.lit(1e-9))
-                  & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need)
-                  & (F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1"))) <= F.col("a.n") + F.col("b.n") - 2 * need)
-                  ).select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2")).distinct()
+def _postings(sets: DataFrame) -> DataFrame:
+    return sets.select("first", "n", "p0", "p1", F.explode("posts").alias("p")).select(
+        F.col("p.word").alias("word"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p.at")).alias("n_at"), "p0", "p1")
 
 
-def matching_sets(docs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs of different sets at the similarity or more: keys, and first places of both."""
-    pairs = cut(_candidates(sets, similar))
-    ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    ids = cut(sets.join(ends, ["h1", "h2"]).select(F.col("first.doc_id").alias("want_id")).distinct())
+def _first_candidates(sets: DataFrame, similar: float) -> DataFrame:
+    """For each set and shared prefix word, one earlier set that passes the filters, if there is any.
+
+    The sets of a word come in order of place. Each is compared with the one before it, then with the one before that,
+    until a candidate is found: near copies of one line find each other at once, so pairs stay in proportion to the sets.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_chunks(batches, ("word",)):
+            word = part.column("word").to_numpy()
+            n = (part.column("n_at").to_numpy() >> 32).astype(np.int64)
+            rest = n - (part.column("n_at").to_numpy() & 0xFFFFFFFF)
+            p0, p1 = (part.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1"))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
+            b = np.flatnonzero(start < np.arange(len(word)))
+            found_a, found_b, lag = [], [], 1
+            while len(b):
+                a = b - lag
+                need = np.ceil((n[a] + n[b]) * (similar / (1 + similar)) - 1e-9)
+                ok = (np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-9) & (np.minimum(rest[a], rest[b]) >= need)
+                some = np.flatnonzero(ok)
+                x, y = a[some], b[some]
+                differ = np.bitwise_count(p0[x] ^ p0[y]).astype(np.int64) + np.bitwise_count(p1[x] ^ p1[y])
+                ok[some] = differ <= n[x] + n[y] - 2 * need[some]
+                found_a.append(a[ok])
+                found_b.append(b[ok])
+                lag += 1
+                b = b[~ok]
+                b = b[b - lag >= start[b]]
+            x, y = (pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (found_a, found_b))
+            columns = [part.column(c).combine_chunks() for c in ("doc_id", "line")]
+            yield pa.record_batch([*[c.take(x) for c in columns], *[c.take(y) for c in columns]], names=["a_id", "a_line", "b_id", "b_line"])
+
+    kind = sets.schema["first"].dataType["doc_id"].dataType.simpleString()
+    posts = _postings(sets).repartition("word").sortWithinPartitions("word", "doc_id", "line")
+    return posts.mapInArrow(run, f"a_id {kind}, a_line int, b_id {kind}, b_line int").distinct()
+
+
+def _all_candidates(sets: DataFrame, later: DataFrame, similar: float) -> DataFrame:
+    """All pairs of an earlier set and one of the sets later that pass the filters."""
+    n = lambda x: F.shiftright(f"{x}.n_at", 32)
+    rest = lambda x: n(x) - F.col(f"{x}.n_at").bitwiseAND(0xFFFFFFFF)
+    need = F.ceil((n("a") + n("b")) * (similar / (1 + similar)) - F.lit(1e-9))
+    differ = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
+    return _postings(sets).alias("a").join(
+        small(cut(_postings(later))).alias("b"), (F.col("a.word") == F.col("b.word")) & (F.struct("a.doc_id", "a.line") < F.struct("b.doc_id", "b.line"))
+        & (F.least(n("a"), n("b")) >= similar * F.greatest(n("a"), n("b")) - F.lit(1e-9)) & (F.least(rest("a"), rest("b")) >= need)
+        & (differ <= n("a") + n("b") - 2 * need)).select(
+        F.col("a.doc_id").alias("a_id"), F.col("a.line").alias("a_line"), F.col("b.doc_id").alias("b_id"), F.col("b.line").alias("b_line")).distinct()
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """Of the pairs of places, those whose lines reach the similarity: key of the later set, earliest place of a match."""
+    ends = cut(pairs.select(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select("b_id", "b_line")).distinct())
+    ids = cut(ends.select(F.col("doc_id").alias("want_id")).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, "_text")):
-            words, at, _, _ = _lines(batch.column("_text"))
+            words, at, row, number = _lines(batch.column("_text"))
+            if len(at) < 2:
+                continue
             h1, h2 = _set_keys(words, at)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64))) if len(at) > 1 else pa.array([], pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["h1", "h2", "words"])
-
-    again = docs.select("doc_id", F.col("text").alias("_text")).join(small(ids), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi").select("_text")
-    read_sets = again.mapInArrow(read, "h1 long, h2 long, words array<long>").join(ends, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    members = cut(read_sets.join(sets.select("h1", "h2", "first"), ["h1", "h2"]))
-    side = lambda x: members.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("words").alias(f"{x}w"), F.col("first").alias(f"{x}_first"))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64)))
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists],
+                                  names=["doc_id", "line", "h1", "h2", "words"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    again = docs.select("doc_id", F.col("text").alias("_text")).join(small(ids), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
+    lines = again.mapInArrow(read, f"doc_id {kind}, line int, h1 long, h2 long, words array<long>").join(ends, ["doc_id", "line"], "left_semi")
+    # Rows with equal ids may differ at a place: the set's key decides.
+    members = cut(lines.join(sets.select("h1", "h2", "first").where("first IS NOT NULL"), ["h1", "h2"]).where(
+        (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line") == F.col("line"))).select("doc_id", "line", "h1", "h2", "words").dropDuplicates(["h1", "h2"]))
+    a = members.select(F.col("doc_id").alias("a_id"), F.col("line").alias("a_line"), F.col("words").alias("aw"))
+    b = members.select(F.col("doc_id").alias("b_id"), F.col("line").alias("b_line"), F.col("words").alias("bw"), "h1", "h2")
     both = F.size(F.array_intersect("aw", "bw"))
-    return pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).where(both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)).select(
-        "a1", "a2", "b1", "b2", "a_first", "b_first")
+    return pairs.join(a, ["a_id", "a_line"]).join(b, ["b_id", "b_line"]).where(both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)).groupBy("h1", "h2").agg(
+        F.min(F.struct(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line"))).alias("other"))
+
+
+def matched_sets(docs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Keys of all sets that an earlier set matches, and the place of such a match."""
+    pairs = cut(_first_candidates(sets, similar))
+    matched = cut(_verified(docs, sets, pairs, similar))
+    # Sets whose candidates all failed: the filters let other ones through as well, so all of theirs are tried.
+    tried = pairs.select(F.struct(F.col("b_id").alias("doc_id"), F.col("b_line").alias("line")).alias("first")).distinct()
+    open_sets = cut(sets.join(tried, "first", "left_semi").join(matched, ["h1", "h2"], "left_anti"))
+    if open_sets.isEmpty():
+        return matched
+    return matched.union(_verified(docs, sets, cut(_all_candidates(sets, open_sets, similar)), similar))
 
 
 def removed_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -157,9 +226,7 @@ def removed_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows = _line_sets(docs, counts, similar)
     # One row for each set; of its copies in a task, only the first place travels.
     sets = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("posts").alias("posts")))
-    near = matching_sets(docs, sets, similar)
-    # The earliest place of a set or of any set that matches it.
-    earliest = near.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b_first").alias("other")).union(near.select("b1", "b2", "a_first")).groupBy("h1", "h2").agg(F.min("other").alias("other"))
+    earliest = matched_sets(docs, sets, similar)
     limits = cut(sets.select("h1", "h2", "first").join(earliest, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "other").alias("limit")))
     places = _line_sets_places(docs)
     return places.join(limits, ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("limit")).select("doc_id", "text_key", "line")

@@ -32,7 +32,7 @@ from portrisk.llm.words import column_words, mix, slices
 MAX_EDITS = 0.2
 WALKS = 6
 SAMPLES = 8
-PLACES = 2
+PLACES = 3
 BLOCK_BYTES = 16_000_000
 SEED = 20_240_601
 
@@ -50,10 +50,6 @@ class ItemIndex:
             if len(w):
                 self.by_size.setdefault(len(w), []).append(i)
         self.keys = {n: self.samples(np.stack([words[i] for i in at])) for n, at in self.by_size.items()}
-        sizes = np.array(sorted(self.by_size), dtype=np.int64)
-        self.least_pairs = int((sizes - 1 - 2 * self.edits(sizes)).min()) if len(sizes) else 0
-        self.least_words = int((sizes - self.edits(sizes)).min()) if len(sizes) else 1
-
     def edits(self, n):
         return np.floor(np.asarray(n) * self.max_edits + 1e-9).astype(np.int64)
 
@@ -78,31 +74,38 @@ class ItemIndex:
                 out[:, walk * SAMPLES + s] = key
         return out
 
-    def search(self, doc: np.ndarray, single: np.ndarray, double: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """By item: least distance, and first word and words of the place, earliest first. single, double: hits so far."""
-        found: dict[int, tuple[int, int, int]] = {}
+    def search(self, words: np.ndarray, edge: np.ndarray, single: np.ndarray, double: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """By document and item: least distance, first word and words of the place, earliest first.
+
+        edge: where each document's words begin; single, double: hits of the count filter before each word.
+        """
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        at = np.arange(len(words))
+        stop = np.repeat(edge[1:], np.diff(edge))  # windows may lack words at the end of a document
         for n, items in self.by_size.items():
-            if len(doc) < n - int(self.edits(n)):
-                continue
             k = int(self.edits(n))
-            # Windows may run over the end of a document, which then lacks words.
-            start = np.arange(max(1, len(doc) - n + 1 + k))
-            end = np.minimum(start + n, len(doc))
-            start = start[(single[end] - single[start] >= n - k) & (double[np.maximum(end - 1, start)] - double[start] >= n - 1 - 2 * k)]
+            end = np.minimum(at + n, stop)
+            start = at[(double[np.maximum(end - 1, at)] - double[at] >= n - 1 - 2 * k) & (single[end] - single[at] >= n - k)]
             for a in range(0, len(start), 4096):
                 some = start[a: a + 4096]
                 places = some[:, None] + np.arange(n)
-                windows = np.where(places < len(doc), doc[np.minimum(places, len(doc) - 1)], np.uint64(0))
-                keys = self.samples(windows)
+                keys = self.samples(np.where(places < stop[some][:, None], words[np.minimum(places, len(words) - 1)], np.uint64(0)))
+                document = np.searchsorted(edge, some, side="right") - 1
                 for j, item in enumerate(items):
-                    for s in some[(keys == self.keys[n][j]).any(axis=1)]:
-                        if item in found and found[item][0] == 0 or item in found and found[item][1] == s:
+                    own, own_pairs = np.sort(self.words[item]), np.sort(pairs(self.words[item]))
+                    for w in np.flatnonzero((keys == self.keys[n][j]).any(axis=1)).tolist():
+                        d, s = int(document[w]), int(some[w])
+                        known = found.get((d, item))
+                        if known and (known[0] == 0 or known[1] == s - edge[d]):
+                            continue
+                        low, high = max(int(edge[d]), s - k), min(int(edge[d + 1]), s + n + k)
+                        # The count filter once more, with this item's words and pairs only.
+                        if member(own_pairs, pairs(words[low:high])).sum() < n - 1 - 2 * k or member(own, words[low:high]).sum() < n - k:
                             continue
-                        low = max(0, int(s) - k)
-                        if (best := nearest(self.words[item], doc[low: int(s) + n + k])) and best[0] <= k:
-                            place = (best[0], low + best[1], best[2])
-                            if item not in found or place < found[item]:
-                                found[item] = place
+                        if (best := nearest(self.words[item], words[low:high])) and best[0] <= k:
+                            place = (best[0], low - int(edge[d]) + best[1], best[2])
+                            if not known or place < known:
+                                found[d, item] = place
         return found
 
 
@@ -162,15 +165,7 @@ def _search_block(docs: DataFrame, items: list, max_edits: float) -> DataFrame:
             words, edge = column_words(batch.column("_text"))
             one = np.concatenate([[0], np.cumsum(singles.hits(words))])
             two = np.concatenate([[0], np.cumsum(doubles.hits(pairs(words)))]) if len(words) else one
-            a, b = edge[:-1], edge[1:]
-            last = np.minimum(np.maximum(b - 1, a), len(two) - 1)
-            maybe = (one[b] - one[a] >= max(1, index.least_words)) & (two[last] - two[np.minimum(a, len(two) - 1)] >= index.least_pairs)
-            rows: list[tuple] = []
-            for i in np.flatnonzero(maybe):
-                doc = words[a[i]:b[i]]
-                inner = np.concatenate([two[a[i]: b[i]], two[b[i] - 1: b[i]]])  # pairs within this document only
-                for item, (distance, first, count) in sorted(index.search(doc, one[a[i]: b[i] + 1], inner).items()):
-                    rows.append((i, ids[item], first, count, distance))
+            rows = [(i, ids[item], first, count, distance) for (i, item), (distance, first, count) in sorted(index.search(words, edge, one, two).items())] if len(words) else []
             took = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.record_batch([took, pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[j] for r in rows], pa.int64()) for j in (2, 3, 4)]],
                                   names=["doc_id", "item_id", "first_word", "n_words", "distance"])

@@ -31,7 +31,7 @@ from portrisk.llm.common import cut, small, sorted_chunks, sorted_groups
 from portrisk.llm.words import mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
-RARITY_BITS = 20
+RARITY_BITS = 22
 BLOCK_BITS = 12
 #: Removed line numbers that may be broadcast: 16 MB.
 BROADCAST_LINES = 4_000_000

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from portrisk.llm.words import column_words, mix, slices
 
-MAX_EDITS = 0.2
+MAX_EDITS = 0.1
 WALKS = 6
 SAMPLES = 8
 PLACES = 3

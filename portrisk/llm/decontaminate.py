@@ -49,6 +49,12 @@ class ItemIndex:
         for i, w in enumerate(words):
             if len(w):
                 self.by_size.setdefault(len(w), []).append(i)
+        # For each word pair, the sizes of items that hold it, as bits; beyond 64 sizes, some share a bit.
+        self.bit = {n: np.uint64(i % 64) for i, n in enumerate(self.by_size)}
+        self.sizes = np.zeros(len(self.pairs), dtype=np.uint64)
+        for n, at in self.by_size.items():
+            for i in at:
+                self.sizes[np.searchsorted(self.pairs, pairs(words[i]))] |= np.uint64(1) << self.bit[n]
         self.keys = {n: self.samples(np.stack([words[i] for i in at])) for n, at in self.by_size.items()}
     def edits(self, n):
         return np.floor(np.asarray(n) * self.max_edits + 1e-9).astype(np.int64)
@@ -74,10 +80,10 @@ class ItemIndex:
                 out[:, walk * SAMPLES + s] = key
         return out
 
-    def search(self, words: np.ndarray, edge: np.ndarray, single: np.ndarray, double: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    def search(self, words: np.ndarray, edge: np.ndarray, single: np.ndarray, sizes: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """By document and item: least distance, first word and words of the place, earliest first.
 
-        edge: where each document's words begin; single, double: hits of the count filter before each word.
+        edge: where each document's words begin; single: words of items before each word; sizes: item sizes by word pair.
         """
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         at = np.arange(len(words))
@@ -85,6 +91,9 @@ class ItemIndex:
         for n, items in self.by_size.items():
             k = int(self.edits(n))
             end = np.minimum(at + n, stop)
+            double = np.zeros(len(words) + 1, dtype=np.int32)
+            np.cumsum((sizes >> self.bit[n]) & np.uint64(1), out=double[1: len(sizes) + 1])
+            double[len(sizes) + 1:] = double[len(sizes)]
             start = at[(double[np.maximum(end - 1, at)] - double[at] >= n - 1 - 2 * k) & (single[end] - single[at] >= n - k)]
             for a in range(0, len(start), 4096):
                 some = start[a: a + 4096]
@@ -164,8 +173,11 @@ def _search_block(docs: DataFrame, items: list, max_edits: float) -> DataFrame:
         for batch in (x for b in batches for x in slices(b, "_text")):
             words, edge = column_words(batch.column("_text"))
             one = np.concatenate([[0], np.cumsum(singles.hits(words))])
-            two = np.concatenate([[0], np.cumsum(doubles.hits(pairs(words)))]) if len(words) else one
-            rows = [(i, ids[item], first, count, distance) for (i, item), (distance, first, count) in sorted(index.search(words, edge, one, two).items())] if len(words) else []
+            double = pairs(words) if len(words) else words
+            hit = np.flatnonzero(doubles.hits(double))
+            sizes = np.zeros(len(double), dtype=np.uint64)
+            sizes[hit] = index.sizes[np.searchsorted(index.pairs, double[hit])]
+            rows = [(i, ids[item], first, count, distance) for (i, item), (distance, first, count) in sorted(index.search(words, edge, one, sizes).items())] if len(words) else []
             took = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.record_batch([took, pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[j] for r in rows], pa.int64()) for j in (2, 3, 4)]],
                                   names=["doc_id", "item_id", "first_word", "n_words", "distance"])

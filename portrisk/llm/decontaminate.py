@@ -102,18 +102,18 @@ class ItemIndex:
                 document = np.searchsorted(edge, some, side="right") - 1
                 for j, item in enumerate(items):
                     own, own_pairs = np.sort(self.words[item]), np.sort(pairs(self.words[item]))
-                    for w in np.flatnonzero((keys == self.keys[n][j]).any(axis=1)).tolist():
-                        d, s = int(document[w]), int(some[w])
-                        known = found.get((d, item))
-                        if known and (known[0] == 0 or known[1] == s - edge[d]):
-                            continue
-                        low, high = max(int(edge[d]), s - k), min(int(edge[d + 1]), s + n + k)
+                    met = np.flatnonzero((keys == self.keys[n][j]).any(axis=1))
+                    # Windows that follow each other are one region, compared once.
+                    breaks = np.flatnonzero((document[met][1:] != document[met][:-1]) | (np.diff(some[met]) > n)) + 1
+                    for run in np.split(met, breaks) if len(met) else []:
+                        d = int(document[run[0]])
+                        low, high = max(int(edge[d]), int(some[run[0]]) - k), min(int(edge[d + 1]), int(some[run[-1]]) + n + k)
                         # The count filter once more, with this item's words and pairs only.
                         if member(own_pairs, pairs(words[low:high])).sum() < n - 1 - 2 * k or member(own, words[low:high]).sum() < n - k:
                             continue
                         if (best := nearest(self.words[item], words[low:high])) and best[0] <= k:
                             place = (best[0], low - int(edge[d]) + best[1], best[2])
-                            if not known or place < known:
+                            if (d, item) not in found or place < found[d, item]:
                                 found[d, item] = place
         return found
 

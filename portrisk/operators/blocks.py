@@ -14,7 +14,6 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 
 ROWS_PER_PARTITION = 500_000
-TREE_REDUCE_ABOVE = 64  # partitions
 
 
 def matrix_blocks(df: DataFrame, n_rows: int) -> RDD:
@@ -35,8 +34,5 @@ def matrix_blocks(df: DataFrame, n_rows: int) -> RDD:
 
 
 def sum_partitions(rdd: RDD, partial: Callable[[Iterator], np.ndarray]) -> np.ndarray:
-    """Sum of one fixed-size vector per partition, through a tree when there are many."""
-    vectors = rdd.mapPartitions(lambda it: [partial(it)])
-    if rdd.getNumPartitions() > TREE_REDUCE_ABOVE:
-        return vectors.treeReduce(np.add, depth=2)
-    return vectors.reduce(np.add)
+    """Sum of one fixed-size vector per partition, through a tree."""
+    return rdd.mapPartitions(lambda it: [partial(it)]).treeReduce(np.add, depth=2)

@@ -182,7 +182,9 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
     def _cells(self, dataset: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
         """Binned rows merged into weighted cells, and the cut points per feature."""
         o = self.getOrDefault
-        n, bins = len(o(self.names)), min(o(self.maxBins), 256)
+        n, bins = len(o(self.names)), o(self.maxBins)
+        if bins > 256:
+            raise ValueError("maxBins is at most 256: bins are kept in one byte")
         held = F.col(o(self.validationCol)) if self.isSet(self.validationCol) else F.lit(False)
         rows = dataset.select(
             *[F.get(o(self.featuresCol), F.lit(i)).alias(f"f{i}") for i in range(n)],

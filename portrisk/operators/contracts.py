@@ -25,6 +25,12 @@ def _number(name: str) -> Column:
     return F.col(name).try_cast("double")
 
 
+def _client_id() -> Column:
+    """The optional id as a whole number, null if it is none."""
+    x = F.col("client_id").cast("string").try_cast("double")
+    return F.coalesce(F.col("client_id").cast("string").try_cast("bigint"), F.when(x == F.floor(x), x.try_cast("bigint")))
+
+
 def _field_violation(name: str) -> Column:
     """First broken rule of one feature, null when it is fine.
 
@@ -52,7 +58,10 @@ def with_violations(clients: DataFrame) -> DataFrame:
 
     The cross-field rule runs only for rows whose single fields are all fine.
     """
-    fields = F.array_compact(F.array(*[_field_violation(f) for f in C.ALL_FEATURES]))
+    rules = [_field_violation(f) for f in C.ALL_FEATURES]
+    if "client_id" in clients.columns:
+        rules.append(F.when(F.col("client_id").isNotNull() & _client_id().isNull(), "client_id:not_integer"))
+    fields = F.array_compact(F.array(*rules))
     crypto, tech = _number("crypto_ratio"), _number("tech_stocks_ratio")
     over = (F.size("_fields") == 0) & (crypto + tech > 1.0)
     text = F.format_string(
@@ -67,7 +76,7 @@ def with_violations(clients: DataFrame) -> DataFrame:
 
 
 def _typed(clients: DataFrame) -> list[Column]:
-    optional_id = F.col("client_id") if "client_id" in clients.columns else F.lit(None)
+    optional_id = _client_id() if "client_id" in clients.columns else F.lit(None)
     optional_text = F.col("description") if "description" in clients.columns else F.lit(None)
     numbers = [
         (_number(f).cast("int") if f in INTEGER_FEATURES else _number(f)).alias(f)

@@ -243,6 +243,8 @@ def repair_matrix(matrix: np.ndarray, jitter: float, tries: int) -> tuple[np.nda
     """Add growing diagonal jitter until a Cholesky factorisation succeeds."""
     added = 0.0
     eye = np.eye(len(matrix))
+    if not np.isfinite(matrix).all():
+        return None, added
     for attempt in range(tries):
         try:
             np.linalg.cholesky(matrix + added * eye)
@@ -296,9 +298,8 @@ class Snapshot:
 
 def latest_snapshot(snapshots: DataFrame) -> Snapshot:
     """Newest successful snapshot, repaired; a failed refresh leaves the older one in use."""
-    good = snapshots.where("status = 'ok'")
-    best = good.agg(F.max_by(F.struct(*good.columns), "as_of").alias("r")).select("r.*")
-    rows = pd_repair(best).where("status = 'ok'").collect()
+    good = pd_repair(snapshots.where("status = 'ok'")).where("status = 'ok'")
+    rows = good.agg(F.max_by(F.struct(*good.columns), "as_of").alias("r")).where("r IS NOT NULL").select("r.*").collect()
     if not rows:
         raise RuntimeError("no successful market snapshot is available")
     r = rows[0]

@@ -18,7 +18,6 @@ from portrisk.functions.arrays import one_hot, total
 from portrisk.functions.scalar import lookup
 from portrisk.operators.blocks import matrix_blocks, sum_partitions
 
-SEED_ROWS = 2000
 
 
 def scaler_stats(clients: DataFrame, features=C.CLUSTER_FEATURES) -> DataFrame:
@@ -50,13 +49,52 @@ def nearest(xs: list[Column], centers) -> Column:
     return F.array_min(options)["i"]
 
 
-def _plus_plus(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    chosen = [points[rng.integers(len(points))]]
-    for _ in range(k - 1):
-        d = np.min([((points - c) ** 2).sum(1) for c in chosen], axis=0)
-        p = d / d.sum() if d.sum() > 0 else None
-        chosen.append(points[rng.choice(len(points), p=p)])
-    return np.array(chosen)
+def _plus_plus(blocks, dims: int, k: int, restarts: int, seed: int) -> np.ndarray:
+    """Starting points of every restart by k-means++ over all rows: one pass for each of the k points.
+
+    A row is drawn with its squared distance as weight by the largest of log(u) / weight, so partitions
+    need to return their best row only.
+    """
+    centers = np.zeros((restarts, k, dims))
+    for j in range(k):
+        known = centers[:, :j].copy()
+
+        def best(index, matrices, j=j, known=known):
+            rng = np.random.default_rng((seed, j, index))
+            out = np.full((restarts, 1 + dims), -np.inf)
+            for x in matrices:
+                for r in range(restarts):
+                    weight = ((x[:, None, :] - known[r][None]) ** 2).sum(2).min(1) if j else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        key = np.where(weight > 0, np.log(rng.random(len(x))) / np.where(weight > 0, weight, 1.0), -np.inf)
+                    i = int(key.argmax())
+                    if key[i] > out[r, 0]:
+                        out[r, 0], out[r, 1:] = key[i], x[i]
+            return [out]
+
+        found = blocks.mapPartitionsWithIndex(best).treeReduce(lambda a, b: np.where(a[:, :1] >= b[:, :1], a, b))
+        if not j and not np.isfinite(found[:, 0]).all():
+            raise ValueError("cannot cluster an empty table")
+        # Fewer distinct rows than clusters: a point repeats.
+        centers[:, j] = np.where(np.isfinite(found[:, :1]), found[:, 1:], centers[:, 0])
+    return centers
+
+
+def _assign(blocks, centers: np.ndarray, k: int, dims: int) -> np.ndarray:
+    """By restart and cluster: rows, squared distances, and sums of the columns."""
+    def partial(matrices):
+        acc = np.zeros((len(centers), k, 2 + dims))
+        for x in matrices:
+            for r, c in enumerate(centers):
+                d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
+                at = d.argmin(1)
+                acc[r, :, 0] += np.bincount(at, minlength=k)
+                acc[r, :, 1] += np.bincount(at, weights=d.min(1), minlength=k)
+                for i in range(dims):
+                    acc[r, :, 2 + i] += np.bincount(at, weights=x[:, i], minlength=k)
+        return acc
+
+    return sum_partitions(blocks, partial)
 
 
 def fit_kmeans(
@@ -71,44 +109,23 @@ def fit_kmeans(
     """Best centres of all restarts and their inertia.
 
     All restarts move together, so each iteration is one pass over the data however
-    many restarts there are; a task returns restarts * k partial sums; a restart that has settled drops out.  The k-means++
-    starting points come from the rows with the smallest hashes; every iteration
-    uses all rows.
+    many restarts there are; a task returns restarts * k partial sums; a restart that has settled drops out.
+    Starting points are drawn from all rows.
     """
-    start = np.array(
-        points.orderBy(F.xxhash64(*columns), *columns).limit(SEED_ROWS).select(*columns).toPandas(), dtype=float
-    )
-    if not len(start):
-        raise ValueError("cannot cluster an empty table")
-    rng = np.random.default_rng(seed)
-    centers = np.stack([_plus_plus(start, k, rng) for _ in range(restarts)])
     dims = len(columns)
     blocks = matrix_blocks(points.select(*columns), points.count()).persist()
-    inertia = np.full(restarts, np.inf)
     moving = np.arange(restarts)
     try:
+        centers = _plus_plus(blocks, dims, k, restarts, seed)
         for _ in range(max_iter):
             now = centers[moving].copy()
-
-            def partial(matrices, now=now):
-                acc = np.zeros((len(now), k, 2 + dims))
-                for x in matrices:
-                    for r, c in enumerate(now):
-                        d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
-                        at = d.argmin(1)
-                        acc[r, :, 0] += np.bincount(at, minlength=k)
-                        acc[r, :, 1] += np.bincount(at, weights=d.min(1), minlength=k)
-                        for i in range(dims):
-                            acc[r, :, 2 + i] += np.bincount(at, weights=x[:, i], minlength=k)
-                return acc
-
-            acc = sum_partitions(blocks, partial)
-            inertia[moving] = acc[:, :, 1].sum(1)
+            acc = _assign(blocks, now, k, dims)
             n = acc[:, :, :1]
             centers[moving] = np.where(n > 0, acc[:, :, 2:] / np.maximum(n, 1), now)
             moving = moving[((centers[moving] - now) ** 2).sum((1, 2)) > tol]
             if not len(moving):
                 break
+        inertia = _assign(blocks, centers, k, dims)[:, :, 1].sum(1)
     finally:
         blocks.unpersist()
     best = int(np.argmin(inertia))

@@ -73,7 +73,8 @@ def asset_prices(prices: DataFrame, universe=C.UNIVERSE) -> DataFrame:
 
     keep = [c for c in ("as_of",) if c in prices.columns]
     return prices.where(F.col("ticker").isin(*[a.ticker for a in universe])).select(
-        *keep, "date", to(lambda a: a.ord).alias("ord"), to(lambda a: a.asset).alias("asset"), "close"
+        *keep, "date", to(lambda a: a.ord).alias("ord"), to(lambda a: a.asset).alias("asset"),
+        F.nanvl(F.col("close").cast("double"), F.lit(None).cast("double")).alias("close"),  # not a number is missing
     )
 
 

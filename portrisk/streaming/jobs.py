@@ -29,7 +29,7 @@ def daily_closes(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
     return (
         ticks.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day"), "ticker")
-        .agg(F.max_by("price", "ts").alias("close"))
+        .agg(F.max_by("price", F.struct("ts", "price")).alias("close"))
         .select(F.to_date("window.start").alias("date"), "ticker", "close")
     )
 

@@ -81,3 +81,18 @@ def test_version_text():
     assert S.model_version("2024-05-06T07:08:09").endswith("(trained 2024-05-06)")
     assert S.model_version(None).endswith("(trained unknown)")
     assert math.isfinite(1.0)
+
+
+def test_text_client_id_is_a_violation_not_an_error(spark):
+    from portrisk.operators.contracts import rejected_clients, valid_clients
+
+    fine = (6, 0.75, 0.20, 42000.0, 0.62, 0.65, 0.45)
+    from portrisk import config as C
+
+    df = spark.createDataFrame([(i, *map(str, fine)) for i in ("9001", "x7", None, "12.0", "1.5")], ["client_id", *C.ALL_FEATURES])
+    names = dict(zip(("avg_holding_days", "crypto_ratio", "tech_stocks_ratio", "account_balance", "balance_velocity", "market_pain_index", "login_freq_drop"), fine, strict=True))
+    from pyspark.sql import functions as F
+
+    df = df.select("client_id", *[F.lit(str(v)).alias(k) for k, v in names.items()])
+    assert sorted(r.client_id or 0 for r in valid_clients(df).collect()) == [0, 12, 9001]
+    assert {r.client_id: r.violations for r in rejected_clients(df).collect()} == {"x7": ["client_id:not_integer"], "1.5": ["client_id:not_integer"]}

@@ -190,3 +190,16 @@ def test_nearest_first_wins(spark):
     df = spark.createDataFrame([(0.0,), (2.0,)], "x double")
     got = [r[0] for r in df.select(segments.nearest([F.col("x")], [[-1.0], [1.0], [3.0]])).collect()]
     assert got == [0, 1]
+
+
+def test_kmeans_finds_blobs_of_repeated_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from portrisk.operators.segments import fit_kmeans
+
+    points = [(10.0 * b + dx, 5.0 * b + dy) for b in range(3) for dx, dy in ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5))]
+    rows = spark.createDataFrame(points, "x double, y double").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2500)))).drop("copy")
+    centers, inertia = fit_kmeans(rows, ["x", "y"], k=3)
+    best = sum(((np.array(points[4 * b: 4 * b + 4]) - np.mean(points[4 * b: 4 * b + 4], axis=0)) ** 2).sum() for b in range(3)) * 2500
+    assert abs(inertia - best) < 1e-6 * best and len(np.unique(centers.round(3), axis=0)) == 3

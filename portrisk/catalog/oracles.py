@@ -224,10 +224,12 @@ _WEIGHTS = ", ".join(
 )
 
 # --- fixed values: p-value series of the Kolmogorov limit --------------------------
-def _drift(samples: str, keys: str = "") -> str:
+def _drift(samples: str, keys: str = "", method: str = "series") -> str:
     """Drift CTEs over samples(<keys,> tag, feature, value); D by comparing both CDFs at each value."""
     k = f"{keys}, " if keys else ""
     on = f"USING ({keys}, feature)" if keys else "USING (feature)"
+    en = "(n_ref * n_cur / (n_ref + n_cur))"
+    x = f"power((sqrt({en}) + 0.12 + 0.11 / sqrt({en})) * d, 2)" if method == "asymptotic" else "d * d * n_ref * n_cur / (n_ref + n_cur)"
     return (
         samples
         + f""",
@@ -242,13 +244,13 @@ dstat AS (
   SELECT {k}feature, n_ref, n_cur, max(abs(c_ref / n_ref - c_cur / n_cur)) AS d
   FROM cdf JOIN sizes {on} GROUP BY ALL),
 pval AS (
-  SELECT *, CASE WHEN d * d * n_ref * n_cur / (n_ref + n_cur) < 0.02 THEN 1.0 ELSE least(1, greatest(0,
-         (SELECT sum((CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * i * i * d * d * n_ref * n_cur / (n_ref + n_cur)))
+  SELECT *, CASE WHEN {x} < 0.02 THEN 1.0 ELSE least(1, greatest(0,
+         (SELECT sum((CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * i * i * {x}))
           FROM range(1, 101) t(i)))) END AS p
   FROM dstat),
 drift AS (
   SELECT {k}feature AS feature_name, p < 0.05 AS drift_detected, p AS p_value, 'ks_2samp' AS stat_test,
-         d AS ks_statistic, 'series' AS p_method, n_ref, n_cur FROM pval)"""
+         d AS ks_statistic, '{method}' AS p_method, n_ref, n_cur FROM pval)"""
     )
 
 
@@ -385,6 +387,8 @@ SELECT client_id, l.churn, row_number() OVER (PARTITION BY l.churn ORDER BY u, c
 FROM labelled l JOIN quota USING (churn)""",
     "drift_ks": _with(VALID + _drift(_unpivoted("1.0")))
     + "SELECT feature_name, drift_detected, round(p_value, 8) AS p_value, stat_test, round(ks_statistic, 8) AS ks_statistic, p_method, n_ref, n_cur FROM drift",
+    "drift_ks_asymptotic": _with(VALID + _drift(_unpivoted("1.5"), method="asymptotic"))
+    + "SELECT feature_name, drift_detected, round(p_value, 8) AS p_value, stat_test, round(ks_statistic, 8) AS ks_statistic, p_method, n_ref, n_cur FROM drift",
     "drift_ks_by_cluster": _with(ASSIGNED + _drift(_unpivoted("1.5", "assigned", "cluster_id"), "cluster_id"))
     + "SELECT cluster_id, feature_name, drift_detected, round(p_value, 8) AS p_value, stat_test, round(ks_statistic, 8) AS ks_statistic, p_method, n_ref, n_cur FROM drift",
     "drift_ks_exact": _with(VALID + _drift(_unpivoted("1.0")), _WALK).replace("WITH", "WITH RECURSIVE", 1)

@@ -301,7 +301,12 @@ def drift_ks_by_cluster(spark, d):
 
 
 def drift_ks_exact(spark, d):
-    return rounded(drift.drift_results(*_samples(spark, d)), 8)
+    return rounded(drift.drift_results(*_samples(spark, d), p_value="exact"), 8)
+
+
+def drift_ks_asymptotic(spark, d):
+    """The default method, with a shifted balance."""
+    return rounded(drift.drift_results(*_samples(spark, d, 1.5)), 8)
 
 
 def retrain_decision(spark, d):
@@ -495,7 +500,7 @@ ALL: dict[str, Query] = {
         lw_shrinkage, market_mu, market_cov, pd_repair, asof_market_snapshot,
         scaler_stats, assign_cluster, cluster_holding, profile_map, client_profiles, cross_features, cluster_sizes,
         roc_auc, log_loss, classification_report, stratified_split,
-        drift_ks, drift_ks_by_cluster, drift_ks_exact, retrain_decision,
+        drift_ks, drift_ks_by_cluster, drift_ks_exact, drift_ks_asymptotic, retrain_decision,
         profile_params, risk_aversion, asset_bounds, equal_weight_start,
         optimize_portfolios, portfolio_optimality, portfolio_utility, kkt_residual, allocation_breakdown,
         risk_drivers, churn_scores, shap_values, shap_additivity, predict_and_explain, predict_clients,

@@ -61,7 +61,6 @@ MONITORED_FEATURES = CHURN_FEATURES
 DRIFT_P_VALUE = 0.05
 DRIFTED_FEATURES_FOR_RETRAIN = 1
 MIN_DRIFT_SAMPLE = 5
-KS_EXACT_LIMIT = 10_000
 
 # --- fixed values: churn classifier ----------------------------------------------
 BOOST_DEPTH = 4

@@ -108,7 +108,7 @@ def drift_watch(
         )
         stats = every.join(ks_statistic(both, ["window_start"]), ["window_start", "feature"], "left")
         stats = stats.fillna(0, ["n_ref", "n_cur"])
-        results = finish_drift(stats, ["window_start"], threshold, C.MIN_DRIFT_SAMPLE, "auto").persist()
+        results = finish_drift(stats, ["window_start"], threshold, C.MIN_DRIFT_SAMPLE, "asymptotic").persist()
         write_batch(results, drift_path, batch_id)
         decisions = retrain_decision(results, ["window_start"]).where("retrain")
         write_batch(decisions, requests_path, batch_id)

@@ -25,13 +25,20 @@ def test_exact_p_value(n, m, d):
     assert abs(drift.exact_p_value(d, n, m) - brute_p(n, m, d)) < 1e-12
 
 
-def test_one_sample_forms_agree():
-    for n in (120, 140):
-        for z in (0.5, 0.8, 1.2, 1.6):
-            d = z / math.sqrt(n)
-            assert abs(drift._durbin_cdf(d, n) - drift._pelz_good_cdf(d, n)) < 2e-5
-    d = 1.99 / math.sqrt(5000)
-    assert abs((1 - drift._pelz_good_cdf(d, 5000)) - 2 * drift._smirnov_tail(d, 5000)) < 1e-7
+def test_asymptotic_error_and_size(spark):
+    """Within 0.02 of the exact value from 50 values a side on; the same formula for a billion a side."""
+    cases = [(m, n, round(z * math.sqrt((m + n) / (m * n)) * math.lcm(m, n)) / math.lcm(m, n)) for m, n in ((50, 60), (120, 700), (500, 3000)) for z in (0.5, 0.8, 1.0, 1.36, 1.63, 2.0)]
+    df = spark.createDataFrame([("x", m, n, d) for m, n, d in cases], "feature string, n_ref long, n_cur long, ks_statistic double")
+    for r in drift.finish_drift(df, [], 0.05, 5, "asymptotic").collect():
+        assert abs(r.p_value - drift.exact_p_value(r.ks_statistic, r.n_ref, r.n_cur)) < 0.02
+    huge = spark.createDataFrame([("x", 10**9, 10**9, 1.36 / math.sqrt(5e8))], df.schema.names)
+    r = drift.finish_drift(huge, [], 0.05, 5, "asymptotic").first()
+    assert abs(r.p_value - 0.0495) < 5e-4 and r.drift_detected and r.p_method == "asymptotic"
+
+
+def test_unknown_method(spark):
+    with pytest.raises(ValueError, match="p_value"):
+        drift.drift_results(frame(spark, range(9)), frame(spark, range(9)), ["x"], p_value="auto")
 
 
 def d_numpy(a, b):
@@ -48,7 +55,7 @@ def test_statistic_with_ties_and_a_hot_value(spark):
     rng = np.random.default_rng(3)
     a = np.where(rng.random(1500) < 0.35, 7.0, rng.normal(7, 3, 1500).round(1))
     b = rng.normal(7.4, 3, 900).round(1)
-    r = drift.drift_results(frame(spark, a), frame(spark, b), ["x"]).first()
+    r = drift.drift_results(frame(spark, a), frame(spark, b), ["x"], p_value="exact").first()
     assert abs(r.ks_statistic - d_numpy(a, b)) < 1e-12 and r.p_method == "exact"
     back = drift.drift_results(frame(spark, b), frame(spark, a), ["x"]).first()
     assert abs(back.ks_statistic - r.ks_statistic) < 1e-12

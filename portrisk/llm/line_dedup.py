@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, small, sorted_chunks, sorted_groups
-from portrisk.llm.words import mix, slices, text_buffer, words_of
+from portrisk.llm.common import cut, small, sorted_chunks
+from portrisk.llm.words import column_words, mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
 RARITY_BITS = 22
@@ -70,23 +70,41 @@ def _set_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Lines that hold the words of each cell, over all documents, by classes: 0 none, 1 one line, above by eighths of powers of two."""
+    """Occurrences of the words of each cell, over all documents, by classes: 0 none, 1 one, above by eighths of powers of two.
+
+    A task sends its cells in compressed blocks, and a block is summed as its rows stream by.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        total, waiting, size = np.zeros(1 << RARITY_BITS, dtype=np.int64), [], 0
         for batch in (x for b in batches for x in slices(b, "_text")):
-            total += np.bincount((_lines(batch.column("_text"))[0] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+            waiting.append((column_words(batch.column("_text"))[0] >> np.uint64(64 - RARITY_BITS)).astype(np.uint32))
+            size += len(waiting[-1])
+            if size > len(total):
+                total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                waiting, size = [], 0
+        total += np.bincount(np.concatenate([np.zeros(0, np.uint32), *waiting]), minlength=len(total))
+        blocks = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.record_batch([pa.array(some), pa.array([pa.compress(blocks[i].tobytes(), codec="zstd", asbytes=True) for i in some], pa.binary())], names=["block", "cells"])
+
+    def classes(block: int, total: np.ndarray) -> pa.RecordBatch:
+        kind = np.where(total, np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(total, 1)))), 0).astype(np.uint8)
+        return pa.record_batch([pa.array([block]), pa.array([kind.tobytes()], pa.binary())], names=["block", "cells"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ("block",)):
-            cells = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
-            n = group.column("n").to_numpy()
-            cells[group.column("cell").to_numpy() % len(cells)] = np.minimum(255, 1 + np.ceil(8 * np.log2(n)))
-            yield pa.record_batch([pa.array([group.column("block")[0].as_py()]), pa.array([cells.tobytes()], pa.binary())], names=["block", "cells"])
-
-    counts = docs.select(F.col("text").alias("_text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    blocks = counts.withColumn("block", F.shiftright("cell", BLOCK_BITS)).repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, cells binary")
+        now, total = None, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+        for batch in batches:
+            for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield classes(now, total)
+                    now, total = block, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+                total += np.frombuffer(pa.decompress(cells.as_buffer(), decompressed_size=4 << BLOCK_BITS, codec="zstd"), dtype=np.uint32)
+        if now is not None:
+            yield classes(now, total)
+
+    counts = docs.select(F.col("text").alias("_text")).mapInArrow(run, "block long, cells binary")
+    blocks = counts.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, cells binary")
     out = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
     for r in blocks.collect():  # at most 2^RARITY_BITS bytes, whatever the corpus
         out[r["block"] << BLOCK_BITS: (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["cells"], dtype=np.uint8)
@@ -113,7 +131,8 @@ def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
             chosen = (place < prefix[line]) & (count[order] > 1)
             words, place, of = words[order][chosen], place[chosen], line[chosen]
             edges = pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32))
-            posts = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(words.view(np.int64)), pa.array(place.astype(np.int32))], names=["word", "at"]))
+            # 40 bits of the word and its place; equal bits of two words, or a place cut to 24 bits, only let more through the filters.
+            posts = pa.ListArray.from_arrays(edges, pa.array((words & ~np.uint64(0xFFFFFF) | np.minimum(place, 0xFFFFFF).astype(np.uint64)).view(np.int64)))
             yield pa.record_batch([
                 batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                 pa.array(n.astype(np.int32)), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), posts],
@@ -121,13 +140,13 @@ def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
 
     source = docs.select("doc_id", F.col("text").alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, line int, h1 long, h2 long, n int, p0 long, p1 long, posts array<struct<word:long,at:int>>")
+    return source.mapInArrow(run, f"doc_id {kind}, line int, h1 long, h2 long, n int, p0 long, p1 long, posts array<long>")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
     return sets.select("first", "n", "p0", "p1", F.explode("posts").alias("p")).select(
-        F.col("p.word").alias("word"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
-        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p.at")).alias("n_at"), "p0", "p1")
+        F.shiftrightunsigned("p", 24).alias("word"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p").bitwiseAND(0xFFFFFF)).alias("n_at"), "p0", "p1")
 
 
 def _first_candidates(sets: DataFrame, similar: float) -> DataFrame:
@@ -225,9 +244,10 @@ def removed_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
     rows = _line_sets(docs, counts, similar)
     # One row for each set; of its copies in a task, only the first place travels.
-    sets = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("posts").alias("posts")))
+    sets = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("posts").alias("posts")))
     earliest = matched_sets(docs, sets, similar)
-    limits = cut(sets.select("h1", "h2", "first").join(earliest, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "other").alias("limit")))
+    # A set of one line that nothing matches keeps it.
+    limits = cut(sets.select("h1", "h2", "first", "copies").join(earliest, ["h1", "h2"], "left").where("copies > 1 OR other IS NOT NULL").select("h1", "h2", F.least("first", "other").alias("limit")))
     places = _line_sets_places(docs)
     return places.join(limits, ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("limit")).select("doc_id", "text_key", "line")
 

@@ -202,6 +202,8 @@ def _all_candidates(sets: DataFrame, later: DataFrame, similar: float) -> DataFr
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     """Of the pairs of places, those whose lines reach the similarity: key of the later set, earliest place of a match."""
     ends = cut(pairs.select(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select("b_id", "b_line")).distinct())
+    # Rows with equal ids may differ at a place: the set's key decides.
+    wanted = cut(sets.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2").join(ends, ["doc_id", "line"], "left_semi"))
     ids = cut(ends.select(F.col("doc_id").alias("want_id")).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +218,11 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: float
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     again = docs.select("doc_id", F.col("text").alias("_text")).join(small(ids), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
-    lines = again.mapInArrow(read, f"doc_id {kind}, line int, h1 long, h2 long, words array<long>").join(ends, ["doc_id", "line"], "left_semi")
-    # Rows with equal ids may differ at a place: the set's key decides.
-    members = cut(lines.join(sets.select("h1", "h2", "first").where("first IS NOT NULL"), ["h1", "h2"]).where(
-        (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line") == F.col("line"))).select("doc_id", "line", "h1", "h2", "words").dropDuplicates(["h1", "h2"]))
-    a = members.select(F.col("doc_id").alias("a_id"), F.col("line").alias("a_line"), F.col("words").alias("aw"))
-    b = members.select(F.col("doc_id").alias("b_id"), F.col("line").alias("b_line"), F.col("words").alias("bw"), "h1", "h2")
+    lines = again.mapInArrow(read, f"doc_id {kind}, line int, h1 long, h2 long, words array<long>")
+    members = cut(lines.join(wanted, ["doc_id", "line", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "line", "h1", "h2"]))
+    # The same columns on both sides, so that one exchange of the words serves both joins.
+    a = members.toDF("a_id", "a_line", "a1", "a2", "aw")
+    b = members.toDF("b_id", "b_line", "h1", "h2", "bw")
     both = F.size(F.array_intersect("aw", "bw"))
     return pairs.join(a, ["a_id", "a_line"]).join(b, ["b_id", "b_line"]).where(both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)).groupBy("h1", "h2").agg(
         F.min(F.struct(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line"))).alias("other"))

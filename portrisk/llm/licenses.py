@@ -229,44 +229,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for key in (*(k.split()[0] for k in SINGLE), *(w for w in PAIRS.values() if w != "cc")):
         gate = gate | F.contains(lower, F.lit(key))
     none = F.array().cast(FOUND)
-    return let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(
-        let(F.split(text, rule["pattern"], -1), lambda rest: intervals(found, rest))))
-
-
-def _detections(text: Column, table: Column) -> Column:
-    """All detections of a text, before suppression."""
-    possible = F.filter(table, lambda r: F.contains(text, r["keyword"]) & ((F.size(r["hints"]) == 0) | F.exists(r["hints"], lambda h: F.contains(text, h))))
-    return F.flatten(F.transform(possible, lambda r: _places(text, r)))
-
-
-def _kept(found: Column) -> Column:
-    """Detections that no other contains: one pass in order of start keeps the farthest end by priority."""
-    order = F.array_sort(F.transform(found, lambda d: F.struct(
-        d["a"].alias("a"), (-d["b"]).alias("minus_b"), (-d["p"]).alias("minus_p"), d["n"].alias("n"), d["b"].alias("b"), d["p"].alias("p"), d["label"].alias("label"))))
-    levels = range(1, FULL + 1)
-    start = F.struct(*[F.lit(-1).alias(f"e{p}") for p in levels], F.array().cast(KEPT).alias("all"))
-    def step(acc: Column, d: Column) -> Column:
-        reach = F.element_at(F.array(*[acc[f"e{p}"] for p in levels]), d["p"])
-        keep = F.array(F.struct(d["label"].alias("label"), d["p"].alias("p"), d["a"].alias("a"), d["b"].alias("b")))
-        return F.struct(
-            *[F.when(d["p"] >= p, F.greatest(acc[f"e{p}"], d["b"])).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in levels],
-            F.when(reach >= d["b"], acc["all"]).otherwise(F.concat(acc["all"], keep)).alias("all"))
-    return F.aggregate(order, start, step, lambda acc: acc["all"])
-
-
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: words, base places, labels and score, and the kept detections with their word intervals.
-
-    score: 1 minus the product of 1 - w over kept detections by label, w by priority (0.5, 0.8, 0.9, 0.97).
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(text, BETWEEN), "")
-    lower = F.col("lower")
-    heads, tails = (sorted({p.split()[k] for p in PAIRS if " " in p}) for k in (0, 1))
-    gate = lower.rlike(rf"\b(?:{'|'.join(heads)})\W+(?:{'|'.join(tails)})\b")
-    for key in SINGLE + tuple(p for p in PAIRS if " " not in p):
-        gate = gate | F.contains(lower, F.lit(key))
-    none = F.array().cast(FOUND)
     table = _literal(rules())
     n_base_rules = len(BASE)
     # A-Z only: other capital letters stay as they are.

@@ -85,6 +85,16 @@ def test_license_base_columns(spark):
         assert 0 <= r.score <= 1
 
 
+def test_license_gate_lets_every_separator_through(spark):
+    texts = ["cc_by_nc", "_CC BY-NC_", "[cc-by_nc]", "see cc`by__nc.", "_public domain_ this_work_is_in_the_public_domain", "https://scripts.sil.org/OFL", "accuracy by now"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = [x.decode() for x in words(t)]
+        at = [k for k in range(len(w)) if w[k: k + 3] == ["cc", "by", "nc"]]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word) == (len(w), len(at), at[0] if at else None), t
+    assert [got[i].labels for i in range(len(texts))] == ["cc-by-nc"] * 4 + ["public-domain", "ofl-1.1", ""]
+
+
 def test_license_suppression(spark):
     text = "Licensed under the Apache License, Version 2.0. Permission is hereby granted, free of charge, to any person obtaining a copy. All rights reserved"
     r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

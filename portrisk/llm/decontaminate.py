@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from portrisk.llm.words import column_words, mix, slices
 
-MAX_EDITS = 0.1
+MAX_EDITS = 0.2
 WALKS = 6
 SAMPLES = 8
-PLACES = 3
+#: Two: at MAX_EDITS, items of 120 words are found; with three, 6 % of them were not.
+PLACES = 2
 BLOCK_BYTES = 16_000_000
 SEED = 20_240_601
 

@@ -178,6 +178,22 @@ def test_leaks_with_edits_and_odd_rows(spark):
     assert decontaminate.find_leaks(odd(spark), bench).count() == 0 and decontaminate.find_leaks(empty(spark), bench).count() == 0
 
 
+def test_leaks_with_a_fifth_of_the_words_edited(spark):
+    r = random.Random(13)
+    items = [(i, " ".join(f"{r.choice('abcdef')}{r.randint(0, 3000)}" for _ in range(n))) for i, n in enumerate([5, 9, 10, 16, 24, 39, 60, 120] * 12)]
+    docs = []
+    for i, text in items:
+        w, part = [f"q{r.randint(0, 3000)}" for _ in range(60)], text.split()
+        for _ in range(len(part) // 5):
+            k = r.randrange(len(part))
+            part[k: k + 1] = r.choice([[], ["zz"], [part[k], "yy"]])
+        w[30:30] = part
+        docs.append((i, " ".join(w), "en", "s", 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got <= {(i, i) for i, _ in items} and len(got) >= 0.97 * len(items)
+
+
 def test_nearest_is_the_least_edit_distance():
     r = random.Random(2)
     for _ in range(60):

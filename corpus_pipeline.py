@@ -27,21 +27,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows under a key of their own: the id and a hash of the text, null ids last. Rows of equal keys are copies."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    return docs.select(key.alias("doc_id"), "text")
+
+
+def _judged(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with a table of distinct keys, null ids too."""
+    keys = small(cut(keys.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_key")).distinct()))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")), how).select(*docs.columns)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least id."""
-    judged = cut(jaccard_join.near_duplicates(docs))
-    gone = cut(judged.where(~F.col("kept")).select("doc_id").distinct())
-    # Rows that repeat an id are rare: only they are compared by text.
-    again = cut(judged.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    single = left.join(small(again), "doc_id", "left_anti").select(*docs.columns)
-    return single.union(left.join(small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """One row of each class of near duplicates: the one with the least id, and of rows with this id with the least text hash."""
+    judged = cut(jaccard_join.near_duplicates(_keyed(docs)))
+    left = _judged(docs, judged.where(~F.col("kept")), "left_anti")
+    # Copies with equal ids have equal keys and are all kept so far.
+    again = cut(judged.where("kept AND n_copies > 1").groupBy("doc_id").count().where("count > 1"))
+    return _judged(left, again, "left_anti").union(_judged(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = cut(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(small(leaks), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item."""
+    return _judged(docs, decontaminate.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

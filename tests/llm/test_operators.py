@@ -280,3 +280,23 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == columns and 0.5 * before < docs.count() <= before
     assert set(queries.ALL) >= {"pipeline"} and len(queries.ALL) == 11
+
+
+def test_pipeline_judges_rows_with_equal_and_null_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(17)
+    new = lambda: [f"{r.choice('abcdef')}{r.randint(0, 3000)}" for _ in range(80)]
+    a, b, c, item, clean, other = (new() for _ in range(6))
+    near = [*a[:79], "edit"]
+    b2, leak, null_leak = [*b[:79], "edit"], [*new(), *item], [*new(), *item]
+    text = " ".join
+    rows = [(3, a), (3, near), (5, clean), (5, a), (7, c), (7, c), (None, b), (None, b2), (None, other), (5, leak), (None, null_leak), (9, item[:1])]
+    docs = spark.createDataFrame([(d, text(t), "en", "s", 0) for d, t in rows], DOCS).repartition(3)
+    left = lambda df: sorted((x.doc_id or -1, x.text) for x in df.collect())
+    key = lambda pairs: sorted((d or -1, text(t)) for d, t in pairs)
+    got = left(corpus_pipeline.near_duplicate_stage(spark, docs, ""))
+    rest = [(5, clean), (7, c), (None, other), (5, leak), (None, null_leak), (9, item[:1])]
+    assert got in [key([*rest, (3, x), (None, y)]) for x in (a, near) for y in (b, b2)]
+    spark.createDataFrame([(1, text(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    gone = [(5, leak), (None, null_leak)]
+    assert left(corpus_pipeline.leak_stage(spark, docs, str(tmp_path))) == key([x for x in rows if x not in gone])

@@ -33,6 +33,10 @@ from portrisk.llm.words import column_words, mix, slices, text_buffer, words_of
 SIMILAR = 0.8
 RARITY_BITS = 22
 BLOCK_BITS = 12
+#: Postings of a word above which they are dealt out by the sizes of the pairs as well, and in parts of TILE postings.
+HOT = 20_000
+TILE = 5_000
+POSTING = ("doc_id", "line", "n_at", "p0", "p1")
 #: Removed line numbers that may be broadcast: 16 MB.
 BROADCAST_LINES = 4_000_000
 
@@ -149,20 +153,63 @@ def _postings(sets: DataFrame) -> DataFrame:
         (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p").bitwiseAND(0xFFFFFF)).alias("n_at"), "p0", "p1")
 
 
+def _placed(posts: DataFrame, similar: float) -> DataFrame:
+    """Postings of hot words with the smaller size of their pairs (m) and the part of that group, of how many. No pair that passes the filters is lost.
+
+    A posting goes to its own size, if a set as large can have the words needed after its place, and to those smaller
+    ones that the length and positional filters allow. A group whose postings are all of larger sets has no pair there.
+    """
+    n, rest = F.shiftright("n_at", 32).cast("long"), F.shiftright("n_at", 32) - F.col("n_at").bitwiseAND(0xFFFFFFFF)
+    # The words needed are at most rest: solved for the other size, with some slack.
+    most = F.floor(rest * ((1 + similar) / similar) - n + F.lit(1e-6)).cast("long")
+    low, high = F.greatest(F.lit(1), F.ceil(n * similar - F.lit(1e-6)).cast("long")), F.least(n, most)
+    sized = posts.withColumn("m", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+    sizes = cut(sized.groupBy("word", "m").agg(F.count(F.lit(1)).alias("all"), F.sum((n == F.col("m")).cast("long")).alias("own")).where("own > 0 AND all > 1").select(
+        F.col("word").alias("w"), F.col("m").alias("size"), F.ceil(F.col("all") / TILE).cast("int").alias("parts")))
+    return sized.join(small(sizes), (F.col("word") == F.col("w")) & (F.col("m") == F.col("size"))).drop("w", "size").withColumn(
+        "part", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int"))
+
+
 def _first_candidates(sets: DataFrame, similar: float) -> DataFrame:
-    """For each set and shared prefix word, one earlier set that passes the filters, if there is any.
+    """For each set and shared prefix word, an earlier set that passes the filters, if there is any.
 
-    The sets of a word come in order of place. Each is compared with the one before it, then with the one before that,
+    Postings of a hot word first meet inside parts of bounded size. Those that find no candidate there meet all other
+    parts, also by tiles of bounded size; the others have theirs.
+    """
+    posts = _postings(sets)
+    # The share that is counted decides how the work is dealt out, not what is found.
+    rate = max(1, HOT // 300)
+    hot = cut(posts.where(F.pmod(F.xxhash64("doc_id", "line"), F.lit(rate)) == 0).groupBy("word").count().where(F.col("count") > HOT // rate).select("word"))
+    if hot.isEmpty():
+        return _compare(posts.select(F.xxhash64("word").alias("g"), F.lit(True).alias("seek"), *POSTING), similar).drop("g").distinct()
+    cold = posts.join(small(hot), "word", "left_anti").select(F.xxhash64("word").alias("g"), F.lit(True).alias("seek"), *POSTING)
+    placed = cut(_placed(posts.join(small(hot), "word", "left_semi"), similar).withColumn("g", F.xxhash64("word", "m", "part")))
+    inner = cut(_compare(placed.select("g", F.lit(True).alias("seek"), *POSTING), similar))
+    done = inner.select(F.col("g").alias("dg"), F.struct(F.col("b_id").alias("doc_id"), F.col("b_line").alias("line")).alias("first")).distinct()
+    left = cut(placed.where("parts > 1").join(done, (F.col("g") == F.col("dg")) & (F.struct("doc_id", "line") == F.col("first")), "left_anti"))
+    tiles = cut(left.groupBy("word", "m").count().select("word", "m", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
+    later = left.join(small(tiles), ["word", "m"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part").select(
+        F.xxhash64("word", "m", "other", F.pmod(F.xxhash64("line", "doc_id"), F.col("tiles")).cast("int")).alias("g"), F.lit(True).alias("seek"), *POSTING)
+    earlier = placed.join(small(tiles), ["word", "m"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        F.xxhash64("word", "m", "part", "tile").alias("g"), F.lit(False).alias("seek"), *POSTING)
+    outer = _compare(later.union(earlier), similar)
+    return _compare(cold, similar).union(inner).union(outer).drop("g").distinct()
+
+
+def _compare(posts: DataFrame, similar: float) -> DataFrame:
+    """For each posting that seeks one, an earlier one of its group (g) that passes the filters, if there is any.
+
+    The sets of a group come in order of place. Each is compared with the one before it, then with the one before that,
     until a candidate is found: near copies of one line find each other at once, so pairs stay in proportion to the sets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sorted_chunks(batches, ("word",)):
-            word = part.column("word").to_numpy()
+        for part in sorted_chunks(batches, ("g",)):
+            word = part.column("g").to_numpy()
             n = (part.column("n_at").to_numpy() >> 32).astype(np.int64)
             rest = n - (part.column("n_at").to_numpy() & 0xFFFFFFFF)
             p0, p1 = (part.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1"))
             start = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
-            b = np.flatnonzero(start < np.arange(len(word)))
+            b = np.flatnonzero((start < np.arange(len(word))) & part.column("seek").to_numpy())
             found_a, found_b, lag = [], [], 1
             while len(b):
                 a = b - lag
@@ -179,11 +226,10 @@ def _first_candidates(sets: DataFrame, similar: float) -> DataFrame:
                 b = b[b - lag >= start[b]]
             x, y = (pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (found_a, found_b))
             columns = [part.column(c).combine_chunks() for c in ("doc_id", "line")]
-            yield pa.record_batch([*[c.take(x) for c in columns], *[c.take(y) for c in columns]], names=["a_id", "a_line", "b_id", "b_line"])
+            yield pa.record_batch([pa.array(word).take(y), *[c.take(x) for c in columns], *[c.take(y) for c in columns]], names=["g", "a_id", "a_line", "b_id", "b_line"])
 
-    kind = sets.schema["first"].dataType["doc_id"].dataType.simpleString()
-    posts = _postings(sets).repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    return posts.mapInArrow(run, f"a_id {kind}, a_line int, b_id {kind}, b_line int").distinct()
+    kind = posts.schema["doc_id"].dataType.simpleString()
+    return posts.repartition("g").sortWithinPartitions("g", "doc_id", "line").mapInArrow(run, f"g long, a_id {kind}, a_line int, b_id {kind}, b_line int")
 
 
 def _all_candidates(sets: DataFrame, later: DataFrame, similar: float) -> DataFrame:

@@ -300,3 +300,26 @@ def test_pipeline_judges_rows_with_equal_and_null_ids(spark, tmp_path):
     spark.createDataFrame([(1, text(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     gone = [(5, leak), (None, null_leak)]
     assert left(corpus_pipeline.leak_stage(spark, docs, str(tmp_path))) == key([x for x in rows if x not in gone])
+
+
+def test_lines_of_a_hot_template_are_dealt_out_without_losing_pairs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    monkeypatch.setattr(line_dedup, "TILE", 15)
+    r = random.Random(23)
+    template = [f"t{i}" for i in range(8)]
+    lines = [[*template[r.randint(0, 1):], *(f"o{r.randint(0, 400)}" for _ in range(r.randint(0, 3)))] for _ in range(150)]
+    lines += [[*template, f"p{i}", f"q{i}"] for i in range(100)]
+    for line in lines:
+        r.shuffle(line)
+    want, seen = set(), []
+    for d, line in enumerate(map(frozenset, lines)):
+        if any(len(line & v) >= 0.8 * len(line | v) for v in seen):
+            want.add(d)
+        seen.append(line)
+    df = spark.createDataFrame([(d, " ".join(line), "en", "s", 0) for d, line in enumerate(lines)], DOCS).repartition(3)
+    assert {x.doc_id for x in line_dedup.removed_by_document(df).collect()} == want
+    # One word, sets of ten words that all share it at place 2 (rest 8 of 9 needed): no posting is left to compare.
+    posts = spark.range(300).select(F.lit(5).cast("long").alias("word"), F.col("id").alias("doc_id"), F.lit(0).alias("line"), F.lit((10 << 32) + 2).alias("n_at"), F.lit(0).cast("long").alias("p0"), F.lit(0).cast("long").alias("p1"))
+    assert line_dedup._placed(posts, 0.8).count() == 0
+    # Where pairs are left, no group has all postings.
+    assert max(x["count"] for x in line_dedup._placed(posts.withColumn("n_at", F.lit(10 << 32)), 0.8).groupBy("word", "m", "part").count().collect()) < 100

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrisk.llm import (
-    decontaminate, host_rules, html_text, jaccard_join, language, licenses, line_dedup, mixing, token_count, toxicity,
+    decontaminate, host_rules, html_text, jaccard_join, language, licenses, line_dedup, merkle, mixing,
+    ranked_search, simhash, token_count, toxicity,
 )
 from portrisk.llm.common import table
 
@@ -58,6 +59,18 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,4 +79,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_source_mixing, op2_license_scan, op3_language_id, op4_line_dedup, op5_main_text, op6_benchmark_leaks,
-    op7_toxicity, op8_jaccard_join, op9_token_counts, op10_host_rules, pipeline)}
+    op7_toxicity, op8_jaccard_join, op9_token_counts, op10_host_rules, op11_merkle_manifest, op12_ranked_search, op13_simhash_copies, pipeline)}

@@ -98,15 +98,15 @@ def _place(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, runs.groupBy("tree", "lang").agg(F.sum("rows").alias("n"))
 
 
-def _fold_block(level: int):
-    """Nodes above a block of nodes of one level, at most LEVELS levels up; below the block's root only from level 1 on."""
+def _fold_block(level: int, inner: bool):
+    """Nodes above a block of nodes of one level, at most LEVELS levels up; without inner only the block's root."""
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("pos")
         digests, at, n = block.column("digest").to_pylist(), block.column("pos")[0].as_py(), block.column("n")[0].as_py()
         rows, now = [], level
         while now < level + LEVELS and now < height(n):
             digests, at, now = fold(digests), at // ARITY, now + 1
-            if level or now == min(LEVELS, height(n)):
+            if inner or now == min(level + LEVELS, height(n)):
                 rows += [(now, at + i, d) for i, d in enumerate(digests)]
         if now == 0:  # a tree of one leaf
             rows = [(0, 0, digests[0])]
@@ -118,12 +118,12 @@ def _fold_block(level: int):
     return run
 
 
-def build(leaves: DataFrame, longest: int) -> DataFrame:
-    """Nodes above leaves (tree, n, pos, digest) that a block cannot derive alone: block roots and all above."""
+def build(leaves: DataFrame, longest: int, inner: bool) -> DataFrame:
+    """Nodes above leaves (tree, n, pos, digest): all, or without inner only what a block of leaves cannot derive alone."""
     tables, now, level = [], leaves, 0
     while True:
         blocks = now.select("tree", "n", "pos", "digest").groupBy("tree", F.floor(F.col("pos") / BLOCK).alias("block"))
-        tables.append(cut(blocks.applyInArrow(_fold_block(level), _NODE)))
+        tables.append(cut(blocks.applyInArrow(_fold_block(level, inner or level > 0), _NODE)))
         level += LEVELS
         if ARITY ** level >= longest:
             return reduce(DataFrame.union, tables)
@@ -204,13 +204,13 @@ def manifest(docs: DataFrame) -> DataFrame:
     placed, trees = cut(placed), cut(trees)
     run_size = trees.agg(F.count(F.lit(1)).alias("trees"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
     n_trees, longest = run_size["trees"], run_size["longest"]
-    nodes = build(placed.withColumnRenamed("leaf", "digest"), longest)
+    nodes = build(placed.withColumnRenamed("leaf", "digest"), longest, False)
     heights = F.lit(0).cast("int")  # height(n) as a column
     for k in range(height(longest)):
         heights = F.when(F.col("n") > ARITY ** k, k + 1).otherwise(heights)
     subroots = cut(nodes.where(F.col("level") == heights).select(
         F.lit(TOP).cast("long").alias("tree"), F.lit(n_trees).cast("long").alias("n"), F.lit(0).alias("level"), F.col("tree").alias("pos"), "digest"))
-    table = nodes.union(build(subroots, n_trees)).union(subroots)
+    table = nodes.union(build(subroots, n_trees, True)).union(subroots)
 
     is_block = F.col("level") == F.least(F.lit(LEVELS), heights)
     blocks = nodes.where(is_block).select("tree", "n", F.col("pos").alias("block"))

@@ -27,14 +27,15 @@ def work_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends, lost executors recompute nothing.
 
-    The reread table has a size that Spark knows, so later joins are planned by it.
+    The reread table has a size that Spark knows, so later joins are planned by it. A task holds a row group
+    while it writes; row_group makes it smaller for tables of wide rows.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

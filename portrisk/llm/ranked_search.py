@@ -1,10 +1,10 @@
 """Ranked lexical search over hashed max-sketches.
 
-The index has one row per document: its length and a sketch of WIDTH bytes and more a distinct term. Each term
-folds its impact into MAPS coordinates by maximum. In one document the impact rises with the occurrences
-alone, so the occurrences are what is folded: the same bytes serve whatever the corpus statistics turn out to
-be. 255 stands for 255 or more, whose impact is taken as the limit. The smallest coordinate of a query term
-bounds its impact from above, and the weighted sum over the terms bounds the score.
+The index has one row per document: its length and a sketch of WIDTH coordinates and more a distinct term. Each
+term folds its impact into MAPS coordinates by maximum. In one document the impact rises with the occurrences
+alone, so the occurrences are what is folded, rounded up to 16 levels of four bits: the same bytes serve whatever
+the corpus statistics turn out to be. The smallest coordinate of a query term bounds its impact from above, and
+the weighted sum over the terms bounds the score.
 
 Queries come in blocks of bounded size, against all rows of the index. A block goes through it twice:
 
@@ -38,12 +38,16 @@ from portrisk.llm.words import column_words, mix, slices
 BEST = 10
 #: Coordinates that a term is folded into, and coordinates for each distinct term (up to the next power of two).
 MAPS = 4
-WIDTH = 16
+WIDTH = 8
+#: Occurrences that the 16 values of a coordinate stand for; others are rounded up, the last is above all.
+LEVELS = np.array([0, 1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 23, 32, 48, 80, 10**9])
 #: Distinct (query, term) pairs and queries of a block: they bound what is broadcast and the size of a bound matrix.
 BLOCK_TERMS = 16_384
 BLOCK_QUERIES = 512
 #: Terms a task counts before it hands the counts on.
 COUNTED = 1 << 19
+#: Bytes of a row group of the index.
+ROW_GROUP = 1 << 24
 #: Documents whose bounds are computed at a time.
 ROWS = 256
 #: Pairs a task holds when it looks for the documents of highest bounds.
@@ -58,12 +62,20 @@ def _coordinates(terms: np.ndarray) -> np.ndarray:
 
 
 def sketch(terms: np.ndarray, tf: np.ndarray) -> bytes:
-    width = 1 << max(3, int(WIDTH * len(terms) - 1).bit_length())
+    """Two coordinates a byte."""
+    width = 1 << max(4, int(WIDTH * len(terms) - 1).bit_length())
     out = np.zeros(width, dtype=np.uint8)
-    value = np.minimum(tf, 255).astype(np.uint8)
+    level = np.searchsorted(LEVELS, tf).astype(np.uint8)
     for c in _coordinates(terms):
-        np.maximum.at(out, (c & np.uint64(width - 1)).astype(np.int64), value)
-    return out.tobytes()
+        np.maximum.at(out, (c & np.uint64(width - 1)).astype(np.int64), level)
+    return (out[0::2] | out[1::2] << 4).tobytes()
+
+
+def unfold(one: np.ndarray) -> np.ndarray:
+    """The coordinates of a sketch."""
+    out = np.empty(2 * len(one), dtype=np.uint8)
+    out[0::2], out[1::2] = one & 15, one >> 4
+    return out
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -100,7 +112,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     names = ["doc_id", "n", "sketch", "term", "df"]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = cut(source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, sketch binary, term long, df long"))
+    both = cut(source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, sketch binary, term long, df long"), ROW_GROUP)
     index = both.where("term IS NULL").select("doc_id", "n", "sketch")
     return index, cut(both.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")))
 
@@ -121,13 +133,9 @@ class Queries:
     def m(self, n: np.ndarray) -> np.ndarray:
         return 10 + (90 * n * self.n_docs) // self.n_terms
 
-    def scores(self, tf: np.ndarray, n: np.ndarray, query: int, limit: int | None = None) -> np.ndarray:
-        """Exact scores of rows of term counts (in the order of places[query]); counts of `limit` have the impact's limit."""
-        tf = tf.astype(np.int64)
-        impact = (1_000_000_000 * tf) // (1000 * tf + 8 * self.m(n)[:, None])
-        if limit is not None:
-            impact[tf >= limit] = 1_000_000
-        return impact @ self.weights[self.places[query]]
+    def scores(self, tf: np.ndarray, n: np.ndarray, query: int) -> np.ndarray:
+        """Scores of rows of term counts (in the order of places[query])."""
+        return ((1_000_000_000 * tf) // (1000 * tf + 8 * self.m(n)[:, None])) @ self.weights[self.places[query]]
 
     def matrix(self) -> np.ndarray:
         out = np.zeros((len(self.terms), len(self.places)), dtype=np.float32)
@@ -139,7 +147,7 @@ class Queries:
 def _bounds(batches: Iterator[pa.RecordBatch], block: Queries, floor: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, and for pairs whose bound is floor[query] or more and not 0: row, query, bound. floor may rise meanwhile."""
     weights = block.matrix()
-    spread = _coordinates(block.terms)
+    spread, levels = _coordinates(block.terms), LEVELS.astype(np.float32)
     for batch in batches:
         n_all = batch.column("n").to_numpy()
         data, offsets = batch.column("sketch").buffers()[2], np.frombuffer(batch.column("sketch").buffers()[1], dtype=np.int32)
@@ -148,21 +156,20 @@ def _bounds(batches: Iterator[pa.RecordBatch], block: Queries, floor: np.ndarray
         width = np.diff(offsets)
         order = np.argsort(width, kind="stable")
         for same in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
-            w = int(width[same[0]]) if len(same) else 8
+            w = 2 * int(width[same[0]]) if len(same) else 2
             at = (spread & np.uint64(w - 1)).astype(np.int64)
             for a in range(0, len(same), ROWS):
                 rows = same[a: a + ROWS]
                 tf = np.empty((len(rows), len(block.terms)), dtype=np.uint8)
                 for i, start in enumerate(offsets[rows].tolist()):
-                    one = data[start: start + w]
+                    one = unfold(data[start: start + w // 2])
                     seen = one[at[0]]
                     for c in at[1:]:
                         seen = np.minimum(seen, one[c])
                     tf[i] = seen
                 m = block.m(n_all[rows]).astype(np.float32)[:, None]
-                count = tf.astype(np.float32)
+                count = levels[tf]
                 impact = count * np.float32(1e9) / (count * np.float32(1000) + np.float32(8) * m)
-                impact[tf == 255] = 1e6
                 rough = (impact @ weights) * np.float32(1.001)  # above the exact bound whatever the rounding
                 r, q = np.nonzero((rough >= floor) & (rough > 0))
                 by = np.argsort(q, kind="stable")
@@ -171,7 +178,7 @@ def _bounds(batches: Iterator[pa.RecordBatch], block: Queries, floor: np.ndarray
                 for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
                     if len(part):
                         query = int(q[part[0]])
-                        bound[part] = block.scores(tf[r[part]][:, block.places[query]], n_all[rows[r[part]]], query, 255)
+                        bound[part] = block.scores(LEVELS[tf[r[part]][:, block.places[query]]], n_all[rows[r[part]]], query)
                 keep = (bound >= floor[q]) & (bound > 0)
                 if keep.any():
                     yield batch.column("doc_id"), rows[r[keep]], q[keep], bound[keep]

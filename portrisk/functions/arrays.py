@@ -21,9 +21,9 @@ def one_hot(index: Column, k: int) -> Column:
 
 
 def lower_bound(bounds: Column, value: Column, steps: int) -> Column:
-    """Number of entries of a sorted array of 2**steps - 1 values that are < value.
+    """Number of entries of a sorted array of at most 2**steps - 1 values that are < value.
 
-    A branch-free binary search: log2(size) probes per row, no explode, no join.
+    A branch-free binary search: log2(size) probes per row, no explode, no join. A probe beyond the end is null.
     """
     strides = F.array(*[F.lit(1 << s) for s in reversed(range(steps))])
     return F.aggregate(

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portrisk import config as C
@@ -42,50 +42,40 @@ def value_counts(reference: DataFrame, current: DataFrame, features=C.MONITORED_
     )
 
 
-def ks_statistic(counts: DataFrame, keys=()) -> DataFrame:
+def _share(n: Column, of: str) -> Column:
+    return F.coalesce(n / F.nullif(F.col(of), F.lit(0)), F.lit(0.0))
+
+
+def ks_statistic(counts: DataFrame, keys=(), per_bucket: int = prefix.PER_BUCKET) -> DataFrame:
     """(keys, feature, n_ref, n_cur, ks_statistic) from value counts.
 
-    F_ref - F_cur at a value is (difference before its bucket) + (difference inside),
-    so the extremes inside a bucket are enough to finish the maximum afterwards.
+    Buckets are cut by feature and are part of the shuffle key, so a segment with most of the rows is dealt out over
+    all of them.
     """
-    segmented = bool(keys)
     keys = [*keys, "feature"]
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"), prefix.boundaries("value").alias("bounds")
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-
-    def share(n: Column, of: str) -> Column:
-        return F.coalesce(n / F.nullif(F.col(of), F.lit(0)), F.lit(0.0))
-
-    if not segmented:
-        sizes = F.broadcast(sizes)  # one row of 2**8 numbers per monitored feature
-    local = (
-        counts.join(sizes, keys)
-        .withColumn("bucket", prefix.bucket_of(F.col("bounds"), "value"))
-        .drop("bounds")
-        .withColumn("c_ref", F.sum("n_ref").over(inside))
-        .withColumn("c_cur", F.sum("n_cur").over(inside))
-        .withColumn("diff", share(F.col("c_ref"), "tot_ref") - share(F.col("c_cur"), "tot_cur"))
-    )
-    buckets = local.groupBy(*keys, "bucket").agg(
-        F.max("tot_ref").alias("tot_ref"),
-        F.max("tot_cur").alias("tot_cur"),
-        F.sum("n_ref").alias("b_ref"),
-        F.sum("n_cur").alias("b_cur"),
-        F.max("diff").alias("hi"),
-        F.min("diff").alias("lo"),
-    )
-    shift = share(prefix.before_bucket("b_ref", keys), "tot_ref") - share(prefix.before_bucket("b_cur", keys), "tot_cur")
-    return (
-        buckets.withColumn("shift", shift)
-        .groupBy(*keys)
-        .agg(
-            F.max("tot_ref").alias("n_ref"),
-            F.max("tot_cur").alias("n_cur"),
-            F.max(F.greatest(F.col("shift") + F.col("hi"), -(F.col("shift") + F.col("lo")))).alias("ks_statistic"),
-        )
-    )
+    placed = prefix.in_buckets(counts, ["feature"], per_bucket)
+    summed = prefix.running(placed, keys, {"n_ref": "c_ref", "n_cur": "c_cur"})
+    gap = F.abs(_share(F.col("c_ref"), "tot_n_ref") - _share(F.col("c_cur"), "tot_n_cur"))
+    return summed.groupBy(*keys).agg(F.max("tot_n_ref").alias("n_ref"), F.max("tot_n_cur").alias("n_cur"), F.max(gap).alias("ks_statistic"))
+
+
+def ks_against(reference: DataFrame, current: DataFrame, keys=(), per_bucket: int = prefix.PER_BUCKET) -> DataFrame:
+    """The statistic of many samples (keys, feature, value, n_cur) against one reference (feature, value, n_ref).
+
+    The largest difference lies at a value of the sample or just before one, so each of its values only needs its rank
+    in the reference.  The ranks of all values come from one running sum; the reference is not copied per sample.
+    """
+    values = current.select("feature", "value", F.lit(0).cast("long").alias("n_ref"), F.lit(1).alias("asked"))
+    both = reference.select("feature", "value", "n_ref", F.lit(0).alias("asked")).unionByName(values)
+    both = both.groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"), F.max("asked").alias("asked"))
+    ranked = prefix.running(prefix.in_buckets(both, ["feature"], per_bucket), ["feature"], {"n_ref": "upto"})
+    ranked = ranked.where("asked = 1").select("feature", "value", "bucket", "n_ref", "upto", "tot_n_ref")
+    keys = [*keys, "feature"]
+    summed = prefix.running(current.join(ranked, ["feature", "value"]), keys, {"n_cur": "c_cur"})
+    at = F.abs(_share(F.col("upto"), "tot_n_ref") - _share(F.col("c_cur"), "tot_n_cur"))
+    before = F.abs(_share(F.col("upto") - F.col("n_ref"), "tot_n_ref") - _share(F.col("c_cur") - F.col("n_cur"), "tot_n_cur"))
+    return summed.groupBy(*keys).agg(
+        F.max("tot_n_ref").alias("n_ref"), F.max("tot_n_cur").alias("n_cur"), F.max(F.greatest(at, before)).alias("ks_statistic"))
 
 
 def kolmogorov_series(d: Column, n_ref: Column, n_cur: Column, corrected: bool = False, terms: int = SERIES_TERMS) -> Column:

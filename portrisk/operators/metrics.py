@@ -10,23 +10,20 @@ from portrisk.functions.scalar import predicted_label
 from portrisk.operators import prefix
 
 
-def roc_auc(scored: DataFrame, label: str = "churn", score: str = "churn_probability") -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "churn", score: str = "churn_probability", per_bucket: int = prefix.PER_BUCKET) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null with a single class.
 
     Rows collapse to distinct scores first; running counts are local to score
     buckets and one row per bucket finishes the sum.
     """
-    counts = scored.groupBy(F.col(score).alias("value")).agg(
+    counts = scored.groupBy(F.col(score).cast("double").alias("value")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg")
     )
-    bounds = counts.agg(prefix.boundaries("value")).scalar()
+    placed = prefix.in_buckets(counts, [], per_bucket)
     inside = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
     buckets = (
-        counts.withColumn("bounds", bounds)
-        .withColumn("bucket", prefix.bucket_of(F.col("bounds"), "value"))
-        .drop("bounds")
-        .withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+        placed.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
         .groupBy("bucket")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
     )

@@ -90,3 +90,54 @@ def test_retrain_threshold(spark):
     assert drift.retrain_decision(df).first().retrain
     assert not drift.retrain_decision(df, minimum=2).first().retrain
     assert not drift.retrain_decision(df.where("not drift_detected")).first().retrain
+
+
+def segmented(spark, seed=4):
+    """Three segments, one with nine tenths of the rows and one in a narrow range."""
+    rng = np.random.default_rng(seed)
+    rows = [("big", *rng.normal(0, 1, 2).round(3).tolist()) for _ in range(2700)] + [("thin", *rng.normal(0.1, 0.01, 2).round(4).tolist()) for _ in range(200)]
+    rows += [("third", *rng.normal(1, 2, 2).round(2).tolist()) for _ in range(100)]
+    return spark.createDataFrame(rows, "seg string, x double, y double")
+
+
+@pytest.mark.parametrize("per_bucket", [1, 12, 1500, 10**6])  # from 4,096 buckets (the finest cut) down to one
+def test_segmented_statistic_for_any_number_of_buckets(spark, per_bucket):
+    ref, cur = segmented(spark), segmented(spark, 5).where("y < 1.5")
+    counts = drift.value_counts(ref, cur, ["x", "y"], ["seg"])
+    got = {(r.seg, r.feature): r for r in drift.ks_statistic(counts, ["seg"], per_bucket).collect()}
+    one = drift.value_counts(ref, ref.limit(0), ["x", "y"]).select("feature", "value", "n_ref")
+    many = drift.value_counts(cur.limit(0), cur, ["x", "y"], ["seg"]).select("seg", "feature", "value", "n_cur")
+    against = {(r.seg, r.feature): r for r in drift.ks_against(one, many, ["seg"], per_bucket).collect()}
+    a, b = ref.toPandas(), cur.toPandas()
+    for seg in ("big", "thin", "third"):
+        for f in ("x", "y"):
+            mine, his = a[a.seg == seg][f].to_numpy(), b[b.seg == seg][f].to_numpy()
+            r = got[seg, f]
+            assert abs(r.ks_statistic - d_numpy(mine, his)) < 1e-12 and (r.n_ref, r.n_cur) == (len(mine), len(his))
+            r = against[seg, f]
+            assert abs(r.ks_statistic - d_numpy(a[f].to_numpy(), his)) < 1e-12 and (r.n_ref, r.n_cur) == (len(a), len(his))
+
+
+def test_buckets_grow_with_the_distinct_values(spark):
+    from pyspark.sql import functions as F
+
+    from portrisk.operators import prefix
+
+    for n, low, high in ((100, 1, 1), (5000, 5, 10), (200_000, 190, 260)):
+        rows = spark.range(n).select(F.lit("f").alias("feature"), F.sin("id").alias("value"))
+        sizes = [r["count"] for r in prefix.in_buckets(rows, ["feature"], 1000).groupBy("bucket").count().collect()]
+        assert low <= len(sizes) <= high and max(sizes) < 2200 and sum(sizes) == n
+
+
+def test_a_large_segment_is_dealt_out(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = drift.value_counts(segmented(spark), segmented(spark, 5), ["x", "y"], ["seg"])
+        plan = drift.ks_statistic(counts, ["seg"], 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    import re
+
+    windows = re.findall(r"Window \[sum\(n_(?:ref|cur)#\d+L\) .*?\], \[(.*?)\], \[value", plan)
+    assert windows and all(re.fullmatch(r"seg#\d+, feature#\d+, bucket#\d+", w) for w in windows)
+    assert re.search(r"hashpartitioning\(seg#\d+, feature#\d+, bucket#\d+", plan)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from portrisk import config as C
 from portrisk.functions import scalar as S
-from portrisk.operators import asof, contracts, drift, explain, market, metrics, portfolio, segments, split
+from portrisk.operators import asof, contracts, drift, explain, history, market, metrics, portfolio, segments, split
 from portrisk.plans import audit, scoring
 from portrisk.plans.training import run_training
 from portrisk.sources import bridge, prices
@@ -76,7 +76,7 @@ def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
     """One snapshot per quarter of the price history."""
     px = bridge.prices(spark, d)
     as_ofs = px.groupBy(F.trunc("date", "quarter").alias("q")).agg(F.max("date").alias("as_of"))
-    return market.market_snapshots(asof.window_by_as_of(px, as_ofs), BRIDGE_UNIVERSE)
+    return history.market_history(px, as_ofs, BRIDGE_UNIVERSE)
 
 
 _SNAPSHOTS: dict = {}
@@ -218,10 +218,10 @@ def asof_market_snapshot(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("order_date")
     )
-    history = snapshot_history(spark, d).where("status = 'ok'").select(
+    snaps = snapshot_history(spark, d).where("status = 'ok'").select(
         "as_of", F.get("mu", F.lit(0)).alias("mu_first"), F.get("mu", F.lit(6)).alias("mu_last")
     )
-    return rounded(asof.asof_join(orders, "order_date", history, "as_of"))
+    return rounded(asof.asof_join(orders, "order_date", snaps, "as_of"))
 
 
 # --- segments ---------------------------------------------------------------------

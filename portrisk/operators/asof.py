@@ -1,11 +1,12 @@
-"""Range and as-of joins as bucketed equi-joins: no cross join, no global window."""
+"""Range and as-of joins by buckets: no cross join, no window over a whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portrisk import config as C
+from portrisk.operators import prefix
 
 
 def latest_window(prices: DataFrame, days: int = C.HISTORY_DAYS) -> DataFrame:
@@ -39,53 +40,44 @@ def window_by_as_of(prices: DataFrame, as_ofs: DataFrame, days: int = C.HISTORY_
     )
 
 
-BROADCAST_HISTORY_ROWS = 50_000
+#: Left rows that a time bucket should hold.
+PER_BUCKET = 1 << 20
 
 
-def asof_join(
-    left: DataFrame, ts: str, right: DataFrame, valid_from: str, broadcast_rows: int = BROADCAST_HISTORY_ROWS
-) -> DataFrame:
-    """Attach to each left row the latest right row with ``valid_from <= ts``.
-
-    Right rows (a snapshot history: at most one row per refresh) become validity
-    intervals listed once per day they touch, and left rows join on their day.
-    Left rows past the newest snapshot look it up on its own day, so nothing is
-    listed beyond it and the left side is read once.  Rows older than the first
-    snapshot come back with nulls.  The history is counted and broadcast if it is
-    short; a longer one is joined by shuffle, where adaptive execution splits a hot day.
-    """
-    payload = [c for c in right.columns if c != valid_from]
-    start = F.to_date(F.col(valid_from))
-    spans = (
-        right.join(_next_value(right.select(valid_from).distinct(), valid_from), valid_from)
-        .withColumn("_day", F.explode(F.sequence(start, F.coalesce(F.to_date("_next"), start), F.expr("interval 1 day"))))
-        .select("_day", "_next", valid_from, *payload)
-    )
-    if right.select(valid_from).limit(broadcast_rows + 1).count() <= broadcast_rows:
-        spans = F.broadcast(spans)
-    newest_day = right.agg(F.max(start)).scalar()
-    requests = left.withColumn("_day", F.least(F.to_date(ts), newest_day)).alias("l")
-    cond = (
-        (F.col("l._day") == F.col("r._day"))
-        & (F.col(f"r.{valid_from}") <= F.col(f"l.{ts}"))
-        & (F.col("r._next").isNull() | (F.col(f"l.{ts}") < F.col("r._next")))
-    )
-    return requests.join(spans.alias("r"), cond, "left").select(
-        *[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.`{c}`") for c in (valid_from, *payload)]
-    )
+def _time(column: str) -> Column:
+    return F.col(column).cast("timestamp").cast("double")
 
 
-def _next_value(values: DataFrame, name: str) -> DataFrame:
-    """(value, next larger value) of a column of distinct timestamps or dates.
+def asof_join(left: DataFrame, ts: str, right: DataFrame, valid_from: str, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Attach to each left row the latest right row with ``valid_from <= ts``.
 
-    Lead inside each month; the last row of a month takes the first value of the
-    next month that has any, found in the far smaller table of month minima.
+    Both sides are dealt out by time: buckets are cut at quantiles of the left times, each is sorted by time, and the
+    last right row is carried along. What a bucket takes over from earlier ones is one more right row at its start, so
+    each side is read once and no row is listed per day. A time with many left rows covers several cuts, over which
+    its rows are dealt. Left rows older than the first right row, or without a time, come back with nulls; of right
+    rows with equal times any one is taken.
     """
-    month = F.trunc(name, "month")
-    w = Window.partitionBy("_m").orderBy(name)
-    inner = values.withColumn("_m", month).withColumn("_lead", F.lead(name).over(w))
-    firsts = values.groupBy(month.alias("_m")).agg(F.min(name).alias("_first"))
-    chain = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_m")))
-    return inner.join(chain.select("_m", "_after"), "_m").select(
-        name, F.coalesce("_lead", "_after").alias("_next")
-    )
+    payload = F.struct(valid_from, *[c for c in right.columns if c != valid_from])
+    cuts = left.select(_time(ts).alias("t")).where("t IS NOT NULL").agg(prefix.sketch("t").alias("s"))
+    cuts = F.coalesce(cuts.select(prefix.boundaries(F.col("s"), per_bucket)).scalar(), F.array().cast("array<double>"))
+    low = prefix.bucket_of(F.col("_cuts"), "_t")
+
+    rows = left.select(F.struct(*left.columns).alias("l"), _time(ts).alias("_t"), F.monotonically_increasing_id().alias("_n"), cuts.alias("_cuts"))
+    ties = F.size(F.filter("_cuts", lambda c: c == F.col("_t")))
+    rows = rows.select((low + F.pmod("_n", F.greatest(ties, F.lit(0)) + 1)).cast("int").alias("bucket"), "_t", "l")
+
+    history = right.select(payload.alias("r"), _time(valid_from).alias("_t"), cuts.alias("_cuts")).where("_t IS NOT NULL")
+    history = history.select(low.cast("int").alias("bucket"), "_t", "r", F.size("_cuts").alias("_n_cuts")).repartition("bucket")
+    # One row per bucket: its last right row goes on to all buckets up to the next one with a right row.
+    last = history.groupBy("bucket").agg(F.max_by(F.struct("_t", "r"), "_t").alias("x"), F.max("_n_cuts").alias("_n_cuts"))
+    following = F.lead("bucket").over(Window.orderBy("bucket"))
+    last = last.select("x", F.sequence(F.col("bucket") + 1, F.coalesce(following, F.col("_n_cuts"))).alias("to"), "bucket", "_n_cuts")
+    carried = last.where(F.col("bucket") < F.col("_n_cuts")).select(F.explode("to").alias("bucket"), "x._t", "x.r")
+
+    no_left = F.lit(None).cast(rows.schema["l"].dataType)
+    no_right = F.lit(None).cast(history.schema["r"].dataType)
+    both = rows.select("bucket", "_t", "l", no_right.alias("r")).unionByName(
+        history.select("bucket", "_t", no_left.alias("l"), "r").unionByName(carried.select("bucket", "_t", no_left.alias("l"), "r")))
+    order = Window.partitionBy("bucket").orderBy("_t", F.col("l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("l", F.last("r", ignorenulls=True).over(order).alias("r")).where("l IS NOT NULL")
+    return found.select("l.*", "r.*")

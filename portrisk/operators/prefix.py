@@ -30,9 +30,9 @@ def boundaries(of: Column, per_bucket: int = PER_BUCKET) -> Column:
     finest = 1 << GRID_STEPS
     # One literal: thousands of them would slow down planning.
     ranks = F.split(F.lit(",".join(str(i / finest) for i in range(1, finest))), ",").cast("array<double>")
-    grid = F.kll_sketch_get_quantile_double(of, ranks)
-    wanted = F.least(F.ceil(F.kll_sketch_get_n_double(of) / per_bucket), F.lit(finest))
-    stride = F.floor(finest / F.greatest(wanted, F.lit(1)))
+    n = F.kll_sketch_get_n_double(of)
+    grid = F.when(n > 0, F.kll_sketch_get_quantile_double(of, ranks)).otherwise(F.array().cast("array<double>"))
+    stride = F.floor(finest / F.greatest(F.least(F.ceil(n / per_bucket), F.lit(finest)), F.lit(1)))
     return F.filter(grid, lambda x, i: (i + 1) % stride == 0)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,5 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several steps read to the checkpoint folder, once; its size is known to later joins."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

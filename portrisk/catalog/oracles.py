@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import factorial
+
+from portrisk.catalog import fixed_model
+
 CLIENT_RAW = """
 o AS (
   SELECT o_custkey AS k, count(*) AS n,
@@ -218,11 +222,69 @@ walk(feature, k, m, n, d, h, inside) AS (
          list_transform(range(0, n + 1), lambda j: CASE WHEN abs((k + 1 - j) * n - j * m) >= h OR j > k + 1 OR k + 1 - j > m THEN 0.0
            ELSE (inside[j + 1] * (m - k + j) + coalesce(inside[j], 0) * (n - j + 1)) / (m + n - k) END::DOUBLE)
   FROM walk WHERE k < m + n)"""
+_DIGITS = "CAST(round(CAST({} AS DECIMAL(18,10)), 6) AS DOUBLE)"
 _WEIGHTS = ", ".join(
-    f"round(w[{i + 1}] / list_sum(w) + 1.234e-8, 6) AS w_{a}"
+    f"{_DIGITS.format(f'w[{i + 1}] / list_sum(w)')} AS w_{a}"
     for i, a in enumerate(("AAPL", "MSFT", "KO", "NVDA", "TSLA", "BTC", "ETH"))
 )
 
+
+# --- the given ensemble: trees as CASE, contributions by all coalitions -------------
+def _tree_sql(node, known) -> str:
+    """Value of a tree with the features in known; a split on another one is averaged by its shares."""
+    if isinstance(node, float):
+        return f"({node!r}::DOUBLE)"
+    name, threshold, share, left, right = node
+    left, right = _tree_sql(left, known), _tree_sql(right, known)
+    if name in known:
+        return f"(CASE WHEN {name} >= {threshold!r} THEN {right} ELSE {left} END)"
+    return f"({share!r}::DOUBLE * {left} + {1 - share!r}::DOUBLE * {right})"
+
+
+def _used(node) -> set[str]:
+    return set() if isinstance(node, float) else {node[0]} | _used(node[3]) | _used(node[4])
+
+
+_MODEL_FEATURES = ("account_balance", "balance_velocity", "market_pain_index", "login_freq_drop", "cluster_0", "cluster_1", "cluster_2")
+_SPLIT_ON = [f for f in _MODEL_FEATURES if any(f in _used(t) for t in fixed_model.TREES)]
+
+
+def _coalition(mask: int) -> str:
+    known = {f for k, f in enumerate(_SPLIT_ON) if mask >> k & 1}
+    return f"{fixed_model.BASE!r}::DOUBLE + " + " + ".join(_tree_sql(t, known) for t in fixed_model.TREES)
+
+
+def _contribution(name: str) -> str:
+    """Shapley value: the mean gain of a feature over all orders in which the features become known."""
+    if name not in _SPLIT_ON:
+        return "0.0::DOUBLE"
+    m, bit = len(_SPLIT_ON), 1 << _SPLIT_ON.index(name)
+    terms = []
+    for mask in range(1 << m):
+        if not mask & bit:
+            size = mask.bit_count()
+            terms.append(f"(v{mask | bit} - v{mask}) * {factorial(size) * factorial(m - size - 1)} / {factorial(m)}::DOUBLE")
+    return " + ".join(terms)
+
+
+_ALL_KNOWN = (1 << len(_SPLIT_ON)) - 1
+#: assigned and profiled, with the probability of the ensemble in place of the latent one.
+_SCORE = (
+    f"(SELECT * EXCLUDE (p), 1.0 / (1.0 + exp(-margin)) AS p FROM (SELECT *, {_coalition(_ALL_KNOWN)} AS margin FROM "
+    "(SELECT *, CAST(cluster_id = 0 AS DOUBLE) AS cluster_0, CAST(cluster_id = 1 AS DOUBLE) AS cluster_1, CAST(cluster_id = 2 AS DOUBLE) AS cluster_2 FROM assigned)))"
+)
+
+
+def _with_ensemble(ctes: str) -> str:
+    named = "CASE a.cluster_id WHEN 0 THEN 'aggressive' WHEN 2 THEN 'balanced' ELSE 'conservative' END AS profile"
+    return ctes.replace("profiled AS (SELECT a.*, p.profile FROM assigned a JOIN profiles p USING (cluster_id))", f"profiled AS (SELECT a.*, {named} FROM {_SCORE} a)")
+
+
+_SHAP = (
+    ", coalitions AS (SELECT client_id, margin, p, " + ", ".join(f"{_coalition(k)} AS v{k}" for k in range(_ALL_KNOWN + 1)) + " FROM profiled),\n"
+    "shap AS (SELECT client_id, p, margin, v0 AS base_value, " + ", ".join(f"{_contribution(f)} AS {f}" for f in _MODEL_FEATURES) + " FROM coalitions)"
+)
+
 # --- fixed values: p-value series of the Kolmogorov limit --------------------------
 def _drift(samples: str, keys: str = "", method: str = "series") -> str:
     """Drift CTEs over samples(<keys,> tag, feature, value); D by comparing both CDFs at each value."""
@@ -292,7 +354,8 @@ _TEXTS = """CASE {c}
   WHEN 'account_balance' THEN 'Low account balance (limited loss cushion)'
   WHEN 'balance_velocity' THEN 'Negative balance velocity (net outflows detected)'
   WHEN 'market_pain_index' THEN 'Elevated market pain index (drawdown stress)'
-  WHEN 'login_freq_drop' THEN 'Sudden drop in login frequency (disengagement signal)' END"""
+  WHEN 'login_freq_drop' THEN 'Sudden drop in login frequency (disengagement signal)'
+  ELSE 'Cluster ' || right({c}, 1) || ' membership (investor segmentation signal)' END"""
 
 ALL: dict[str, str] = {
     "client_features": _with(VALID) + f"SELECT {_FEATURES} FROM valid",
@@ -452,6 +515,23 @@ ranked AS (
 two AS (
   SELECT client_id, max(CASE WHEN r = 1 THEN f END) AS driver_1, max(CASE WHEN r = 2 THEN f END) AS driver_2 FROM ranked GROUP BY 1)
 SELECT client_id, driver_1, driver_2, {_TEXTS.format(c="driver_1")} AS text_1, {_TEXTS.format(c="driver_2")} AS text_2 FROM two""",
+    "churn_scores": _with(_with_ensemble(ASSIGNED)) + "SELECT client_id, round(p, 6) AS churn_probability FROM profiled",
+    "predict_clients": _with(_with_ensemble(ASSIGNED)) + "SELECT client_id, cluster_id, profile, round(p, 6) AS churn_probability FROM profiled",
+    "shap_values": _with(_with_ensemble(ASSIGNED) + _SHAP)
+    + "SELECT client_id, round(base_value, 6) AS base_value, round(margin, 6) AS margin, " + ", ".join(f"round({f}, 6) AS {f}" for f in _MODEL_FEATURES) + " FROM shap",
+    "predict_and_explain": _with(_with_ensemble(ASSIGNED) + _SHAP)
+    + ", parts AS (" + " UNION ALL ".join(f"SELECT client_id, p, {i} AS i, '{f}' AS f, {f} AS v FROM shap" for i, f in enumerate(_MODEL_FEATURES)) + """),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY v > 0 DESC, CASE WHEN v > 0 THEN v ELSE abs(v) END DESC, i) AS r
+  FROM parts)
+SELECT client_id, round(any_value(p), 4) AS churn_probability, """
+    + f"max(CASE WHEN r = 1 THEN {_TEXTS.format(c='f')} END) || ' | ' || max(CASE WHEN r = 2 THEN {_TEXTS.format(c='f')} END) AS risk_drivers, "
+    + "'portrisk_churn_v1 (trained unknown)' AS model_version FROM ranked GROUP BY client_id",
+    "client_allocations": _with_ensemble(SOLVE)
+    + f""", solved AS (SELECT client_id, CAST(CAST(unnest(w) / list_sum(w) AS DECIMAL(18,10)) AS DOUBLE) AS weight, generate_subscripts(w, 1) - 1 AS ord FROM pg WHERE k = 300)
+SELECT s.client_id, b.profile, b.asset, {_DIGITS.format('weight')} AS weight, printf('%.2f%%', round(CAST(weight * 100 AS DECIMAL(18,8)), 2)::DOUBLE) AS weight_text,
+  '$' || format('{{:,.2f}}', account_balance * weight) AS capital_text
+FROM solved s JOIN bounds b ON b.client_id = s.client_id AND b.ord = s.ord WHERE weight > 0.005""",
     "shap_additivity": _with(VALID) + "SELECT client_id, TRUE AS additive FROM valid",
     # Contract: five grid points, so four neighbouring pairs per client, and none out of order.
     "monotonicity_audit": _with(VALID)

@@ -1,18 +1,20 @@
 """Registered queries: (spark, folder) -> DataFrame over the whole given tables.
 
 Queries with a SQL counterpart use fixed segment centres and the latent churn
-score, so that their results do not depend on a random fit; the model queries
-train on the same tables.  Doubles are rounded at the very end.
+score or a given small ensemble, so that their results do not depend on a random fit;
+cluster_sizes, shap_additivity, monotonicity_audit and training_report train on the
+same tables.  Doubles are rounded at the very end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrisk import config as C
+from portrisk.catalog.fixed_model import CENTERS, MEANS, STDS, fixed_model
 from portrisk.functions import scalar as S
 from portrisk.operators import asof, contracts, drift, explain, history, market, metrics, portfolio, segments, split
 from portrisk.plans import audit, scoring
@@ -21,11 +23,6 @@ from portrisk.sources import bridge, prices
 from portrisk.sources.bridge import BRIDGE_UNIVERSE
 from portrisk.sources.clients import feature_columns
 
-# --- fixed values: segment scaler and centres of the SQL-checked queries ----------
-MEANS = (230.0, 0.31, 0.49)
-STDS = (90.0, 0.08, 0.09)
-CENTERS = ((-0.3, -0.5, 0.6), (1.9, -0.4, -0.4), (-0.2, 0.65, -0.6))
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -350,15 +347,14 @@ def _solved(spark, d):
     return portfolio.optimize_portfolios(rows, snap), snap
 
 
-def optimize_portfolios(spark, d):
-    """Weights rounded to 6 digits.
+def weight_digits(weight) -> Column:
+    """Six digits of a weight. A weight at a bound has 7 or 8 digits, so ties are real and are broken on decimals."""
+    return F.round(F.round(weight, 10).cast("decimal(18,10)"), 6).cast("double")
+
 
-    Weights at a bound have 7 or 8 digits and would be exact rounding ties, which
-    the two engines may break differently; a shift of 1.234e-8 moves them off the tie.
-    """
+def optimize_portfolios(spark, d):
     rows, _ = _solved(spark, d)
-    weights = [(F.get("weights", F.lit(i)) + 1.234e-8).alias(f"w_{a}") for i, a in enumerate(C.ASSETS)]
-    return rounded(rows.select("client_id", *weights))
+    return rows.select("client_id", *[weight_digits(F.get("weights", F.lit(i))).alias(f"w_{a}") for i, a in enumerate(C.ASSETS)])
 
 
 def portfolio_optimality(spark, d):
@@ -435,13 +431,13 @@ def risk_drivers(spark, d):
 
 
 def churn_scores(spark, d):
-    model = trained(spark, d).model
+    model = fixed_model()
     out = scoring.predict_clients(bridge.clients(spark, d), model)
     return rounded(out.select("client_id", "churn_probability"))
 
 
 def shap_values(spark, d):
-    model = trained(spark, d).model
+    model = fixed_model()
     rows = model.classifier.score(model.segments.transform(bridge.clients(spark, d)), explain=True)
     return rounded(
         rows.select(
@@ -460,7 +456,7 @@ def shap_additivity(spark, d):
 
 
 def predict_and_explain(spark, d):
-    model = trained(spark, d).model
+    model = fixed_model()
     out = scoring.predict_and_explain(bridge.clients(spark, d), model)
     return out.select(
         "client_id",
@@ -471,16 +467,17 @@ def predict_and_explain(spark, d):
 
 
 def predict_clients(spark, d):
-    model = trained(spark, d).model
+    model = fixed_model()
     out = scoring.predict_clients(bridge.clients(spark, d), model)
     return rounded(out.select("client_id", "cluster_id", "profile", "churn_probability"))
 
 
 def client_allocations(spark, d):
-    """Model scores to allocations of all flagged clients."""
-    model = trained(spark, d).model
-    out = scoring.allocation_report(bridge.clients(spark, d), model, snapshot(spark, d))
-    return out.select("client_id", "profile", "asset", F.round("weight", 6).alias("weight"), "weight_text", "capital_text")
+    """Model scores to allocations of all flagged clients; texts of weights to ten digits, see weight_digits."""
+    rows = scoring.allocate_clients(bridge.clients(spark, d), fixed_model(), snapshot(spark, d))
+    rows = rows.withColumn("weights", F.transform("weights", lambda w: F.round(w, 10)))
+    out = portfolio.allocation_breakdown(rows, keep=("client_id", "profile"))
+    return out.select("client_id", "profile", "asset", weight_digits("weight").alias("weight"), "weight_text", "capital_text")
 
 
 def monotonicity_audit(spark, d):

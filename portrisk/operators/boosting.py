@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -26,13 +27,14 @@ from portrisk import config as C
 from portrisk.functions.scalar import sigmoid
 from portrisk.operators.blocks import sum_partitions
 from portrisk.operators.explain import make_scorer
-from portrisk.session import ensure_checkpoint_dir
+from portrisk.session import ensure_checkpoint_dir, materialize
 
 CELLS_PER_BLOCK = 65_536
 CELLS_PER_PARTITION = 500_000
 REFRESH_EVERY = 10  # rounds between rewrites of the cached margins
 CHECKPOINT_EVERY = 50  # rounds between lineage cuts
 MIN_GAIN = 1e-6
+STORAGE = StorageLevel.MEMORY_AND_DISK  # a block that memory does not hold goes to disk
 
 
 @dataclass
@@ -79,28 +81,29 @@ def add_trees(block, trees):
     return key, x, counts, margin
 
 
-def _histogram(blocks, pending, tree, level, n_features, n_bins, subsample, seed):
-    """Sum over one partition: histogram of the level's nodes, then validation loss."""
+def _histogram(blocks, pending, tree, level, slots, n_features, n_bins, subsample, seed):
+    """Sum over one partition: histogram of the level's nodes that have a slot, then validation loss."""
     n_nodes = 2**level
-    size = n_nodes * n_features * n_bins
+    size = (int(slots.max()) + 1) * n_features * n_bins
     out = np.zeros(2 * size + 2)
     feature, cut = tree
     for block in blocks:
         key, x, counts, margin = add_trees(block, pending)
         p = 1.0 / (1.0 + np.exp(-margin))
-        neg, pos, v_neg, v_pos = counts.T
+        neg, pos, v_neg, v_pos = counts.T  # whole numbers
         if level == 0:
             safe = np.clip(p, 1e-15, 1 - 1e-15)
             out[-2] += -(v_pos * np.log(safe) + v_neg * np.log(1 - safe)).sum()
             out[-1] += v_pos.sum() + v_neg.sum()
         if subsample < 1.0:
             rng = np.random.default_rng([*seed, *key])
-            neg, pos = rng.binomial(neg.astype(np.int64), subsample), rng.binomial(pos.astype(np.int64), subsample)
+            neg, pos = rng.binomial(neg, subsample), rng.binomial(pos, subsample)
         n = neg + pos
         g, h = n * p - pos, n * p * (1 - p)
         node = walk(x, feature, cut, level) - (n_nodes - 1)
-        live = node >= 0
-        base = node[live] * (n_features * n_bins)
+        slot = np.where(node >= 0, slots[np.maximum(node, 0)], -1)
+        live = slot >= 0
+        base = slot[live] * (n_features * n_bins)
         xs, g, h = x[live], g[live], h[live]
         for f in range(n_features):
             cell = base + f * n_bins + xs[:, f]
@@ -137,12 +140,21 @@ def best_splits(hist, lo, hi, signs, allowed, reg_lambda, min_child):
     return flat[rows, at], f, b, pick(wl), pick(wr), pick(hl), pick(hr), total_h[:, 0]
 
 
+def _lighter(tree: Tree, node: int) -> bool:
+    """Whether a node has less weight than its sibling; of equals the left one."""
+    sibling = node + 1 if node % 2 else node - 1
+    return tree.cover[node] < tree.cover[sibling] or (tree.cover[node] == tree.cover[sibling] and node < sibling)
+
+
 class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Binary classifier with per-feature monotone signs and early stopping.
 
     ``validationCol`` (boolean) marks rows used only to choose the number of rounds.
     """
 
+    #: Sum the lighter of two siblings only; the other histogram is the parent's rest.
+    siblings = True
+
     rounds = Param(Params._dummy(), "rounds", "boosting rounds", TypeConverters.toInt)
     depth = Param(Params._dummy(), "depth", "tree depth", TypeConverters.toInt)
     eta = Param(Params._dummy(), "eta", "learning rate", TypeConverters.toFloat)
@@ -229,7 +241,7 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
         signs = np.array(o(self.signs))
         ensure_checkpoint_dir(dataset.sparkSession)
         cells, cuts = self._cells(dataset)
-        cells = cells.persist()
+        cells = cells.persist(STORAGE)
         summary = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).first()
         if not summary.neg or not summary.pos:
             cells.unpersist()
@@ -248,7 +260,7 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
                         {
                             "key": [part[keys].iloc[0].astype(int).tolist()],
                             "bins": [part[keys].to_numpy(np.uint8).tobytes()],
-                            "counts": [part[counts].to_numpy(np.float64).tobytes()],
+                            "counts": [part[counts].to_numpy(np.int64).tobytes()],
                         }
                     )
 
@@ -259,11 +271,12 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
         )
 
         def unpack(r):
-            x = np.frombuffer(r.bins, np.uint8).reshape(-1, n_features).astype(np.int64)
-            w = np.frombuffer(r.counts, np.float64).reshape(-1, 4)
+            x = np.frombuffer(r.bins, np.uint8).reshape(-1, n_features)
+            w = np.frombuffer(r.counts, np.int64).reshape(-1, 4)
             return list(r.key), x, w, np.full(len(x), base)
 
-        state = packed.rdd.map(unpack).persist()
+        # Written once: a lost or evicted block is read again, not joined and binned again.
+        state = materialize(packed).coalesce(parts).rdd.map(unpack).persist(STORAGE)
         state.count()
         cells.unpersist()
         try:
@@ -286,13 +299,27 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
         losses: list[float] = []
         current = state
 
-        def sums(tree, level, rnd):
+        def sums(tree, level, rnd, slots):
             waiting, shape = list(pending), (tree.feature.copy(), tree.bin.copy())
             sub, seed = o(self.subsample), (o(self.seed), rnd)
             return sum_partitions(
-                current, lambda it: _histogram(it, waiting, shape, level, n_features, n_bins, sub, seed)
+                current, lambda it: _histogram(it, waiting, shape, level, slots, n_features, n_bins, sub, seed)
             )
 
+        def histograms(tree, level, rnd, nodes, above):
+            """Histograms of open nodes by node, and the vector. Of two siblings the lighter is summed, the other is the rest of the parent."""
+            first = 2**level - 1
+            chosen = [i for i in nodes if level == 0 or not self.siblings or _lighter(tree, i)]
+            slots = np.full(2**level, -1)
+            slots[[i - first for i in chosen]] = np.arange(len(chosen))
+            vector = sums(tree, level, rnd, slots)
+            table = vector[:-2].reshape(2, len(chosen), n_features, n_bins)
+            out = {i: table[:, k] for k, i in enumerate(chosen)}
+            for i in nodes:
+                if i not in out:
+                    out[i] = above[(i - 1) // 2] - out[i + 1 if i % 2 else i - 1]
+            return out, vector
+
         def note_loss(vector) -> bool:
             if vector[-1] > 0:
                 losses.append(vector[-2] / vector[-1])
@@ -303,16 +330,14 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
             allowed = np.zeros(n_features, bool)
             allowed[rng.choice(n_features, n_used, replace=False)] = True
             lo, hi = {0: -np.inf}, {0: np.inf}
-            open_nodes = [0]
+            open_nodes, above = [0], {}
             stop = False
             for level in range(depth):
-                vector = sums(tree, level, rnd)
+                above, vector = histograms(tree, level, rnd, open_nodes, above)
                 if level == 0 and note_loss(vector):
                     stop = True
                     break
-                first = 2**level - 1
-                size = 2**level * n_features * n_bins
-                hist = vector[: 2 * size].reshape(2, 2**level, n_features, n_bins)[:, [i - first for i in open_nodes]]
+                hist = np.stack([above[i] for i in open_nodes], axis=1)
                 gain, f, b, wl, wr, hl, hr, h_all = best_splits(
                     hist,
                     np.array([lo[i] for i in open_nodes]),
@@ -352,14 +377,14 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
             pending.append((tree.feature, tree.bin, tree.value, depth))
             if len(pending) >= REFRESH_EVERY:
                 applied = list(pending)
-                fresh = current.map(lambda block: add_trees(block, applied)).persist()
+                fresh = current.map(lambda block: add_trees(block, applied)).persist(STORAGE)
                 if len(trees) % CHECKPOINT_EVERY == 0:
                     fresh.checkpoint()
                 fresh.count()
                 if current is not state:
                     current.unpersist()
                 current, pending = fresh, []
-        note_loss(sums(Tree.empty(depth), 0, o(self.rounds)))
+        note_loss(sums(Tree.empty(depth), 0, o(self.rounds), np.zeros(1, dtype=int)))
         if current is not state:
             current.unpersist()
         return trees, losses

@@ -2,9 +2,10 @@
 
 Rows are ordered by the md5 of their id inside each label.  Because that key is
 uniform, fixed-width buckets of it are balanced: per-bucket counts find the buckets
-that hold a cut, rows of all others are decided by comparing bucket numbers, and
-only rows of the cut buckets (about a millionth each) are ranked.  The big table is
-not shuffled.
+that hold a cut, and only rows of these buckets (about a millionth each) are ranked,
+to find the last row before the cut.  All rows are then decided by one comparison.
+The rows are written once with their order, so the source is read once, and the table
+is not shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from portrisk import config as C
 from portrisk.functions.arrays import total
 from portrisk.functions.scalar import md5_uniform
+from portrisk.session import materialize
 
 BUCKETS = 1 << 20
 
@@ -36,10 +38,12 @@ def stratified_parts(
     proportion, rounded down, and the largest rests get the missing rows.  A row
     without a key is placed by its content.
     """
-    tagged = (
+    order = F.struct(F.col("_u"), F.col(key).alias("key"), F.col("_id"))
+    tagged = materialize(
         rows.withColumn("_y", F.coalesce(F.col(label) == 1, F.lit(False)))
         .withColumn("_u", F.coalesce(md5_uniform(key, salt), md5_uniform(F.to_json(F.struct(*rows.columns)), salt)))
         .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+        .withColumn("_id", F.monotonically_increasing_id())  # rows of one key have an order
     )
     per_bucket = tagged.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
     left = per_bucket.groupBy("_y").agg(F.sum("_n").alias("_size"))
@@ -52,26 +56,30 @@ def stratified_parts(
     found = (
         counted.join(F.broadcast(left.drop("_size")), "_y")
         .groupBy("_y")
-        .agg(
-            *[F.max(f"_q{i}").alias(f"_q{i}") for i in cuts],
-            *[
-                F.min(F.when(F.col("_before") + F.col("_n") >= F.col(f"_q{i}"), F.struct("_b", "_before"))).alias(f"_c{i}")
-                for i in cuts
-            ],
-        )
+        .agg(*[
+            F.min(F.when(F.col("_before") + F.col("_n") >= F.col(f"_q{i}"), F.struct("_b", "_before", f"_q{i}"))).alias(f"_c{i}")
+            for i in cuts
+        ])
     )
-    placed = tagged.join(F.broadcast(found), "_y")
+    # The last row before each cut, from the few rows of its bucket.
     at_cut = F.lit(False)
     for i in cuts:
         at_cut = at_cut | (F.col("_b") == F.col(f"_c{i}._b"))
+    near = tagged.select("_y", "_b", "_u", key, "_id").join(F.broadcast(found), "_y").where(at_cut)
+    near = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_y", "_b").orderBy("_u", key, "_id")))
+    last = near.groupBy("_y").agg(*[
+        F.max(F.when((F.col("_b") == F.col(f"_c{i}._b")) & (F.col(f"_c{i}._before") + F.col("_rank") <= F.col(f"_c{i}._q{i}")), order)).alias(f"_t{i}")
+        for i in cuts
+    ])
+    ends = found.join(last, "_y").select("_y", *[F.struct(F.col(f"_c{i}._b").alias("b"), F.col(f"_t{i}").alias("t")).alias(f"_e{i}") for i in cuts])
     labels = F.array(*[F.lit(n) for n in names])
-    passed = total([F.when(F.col("_b") > F.col(f"_c{i}._b"), 1).otherwise(0) for i in cuts])
-    clear = placed.where(~at_cut).withColumn(out, F.get(labels, passed))
-    rank = F.row_number().over(Window.partitionBy("_y", "_b").orderBy("_u", key))
-    start = F.coalesce(*[F.when(F.col("_b") == F.col(f"_c{i}._b"), F.col(f"_c{i}._before")) for i in cuts])
-    beyond = total([F.when(F.col("_pos") > F.col(f"_q{i}"), 1).otherwise(0) for i in cuts])
-    mixed = placed.where(at_cut).withColumn("_pos", start + rank).withColumn(out, F.get(labels, beyond))
-    return clear.select(*rows.columns, out).unionByName(mixed.select(*rows.columns, out))
+
+    def beyond(i: int):
+        same = F.col("_b") == F.col(f"_e{i}.b")
+        return F.when(F.when(same, F.coalesce(order > F.col(f"_e{i}.t"), F.lit(True))).otherwise(F.col("_b") > F.col(f"_e{i}.b")), 1).otherwise(0)
+
+    placed = tagged.join(F.broadcast(ends), "_y")
+    return placed.select(*rows.columns, F.get(labels, total([beyond(i) for i in cuts])).alias(out))
 
 
 def stratified_split(

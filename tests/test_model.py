@@ -203,3 +203,45 @@ def test_kmeans_finds_blobs_of_repeated_rows(spark):
     centers, inertia = fit_kmeans(rows, ["x", "y"], k=3)
     best = sum(((np.array(points[4 * b: 4 * b + 4]) - np.mean(points[4 * b: 4 * b + 4], axis=0)) ** 2).sum() for b in range(3)) * 2500
     assert abs(inertia - best) < 1e-6 * best and len(np.unique(centers.round(3), axis=0)) == 3
+
+
+def test_sibling_histograms_give_the_same_trees(spark, labelled, monkeypatch):
+    """With subtraction, without, and with all blocks on disk."""
+    import json
+
+    import numpy as np
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+
+    from portrisk import config as C
+    from portrisk.operators import boosting
+
+    rows = labelled.withColumn("features", F.array(*[F.col(c).cast("double") for c in (*C.CHURN_FEATURES, *C.CLUSTER_FEATURES)])).persist()
+    fit = lambda: boosting.MonotoneGBTClassifier(rounds=12, subsample=0.9).fit(rows).tree_list()
+    fast = fit()
+    monkeypatch.setattr(boosting.MonotoneGBTClassifier, "siblings", False)
+    plain = fit()
+    monkeypatch.setattr(boosting, "STORAGE", StorageLevel.DISK_ONLY)
+    disk = fit()
+    assert len(fast) == 12 and json.dumps(plain) == json.dumps(disk)
+    for a, b in zip(fast, plain):
+        assert a["feature"] == b["feature"] and a["threshold"] == b["threshold"]
+        assert np.allclose(a["value"], b["value"], atol=1e-9) and np.allclose(a["cover"], b["cover"], atol=1e-6)
+    rows.unpersist()
+
+
+def test_split_of_repeated_and_missing_keys(spark):
+    from pyspark.sql import functions as F
+
+    from portrisk.operators import split
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("client_id"), F.col("id").alias("n"),
+        (F.col("id") % 5 == 0).cast("int").alias("churn"))
+    parts = split.stratified_parts(rows, buckets=64)
+    counts = {(r.churn, r.part): r["count"] for r in parts.groupBy("churn", "part").count().collect()}
+    assert sum(counts.values()) == 3000 and parts.select("n").distinct().count() == 3000
+    assert counts[0, "test"] + counts[1, "test"] == 600 and counts[1, "test"] == 120 and counts[0, "valid"] + counts[1, "valid"] == 480
+    assert "materialize" not in parts.columns and parts.columns == ["client_id", "n", "churn", "part"]
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan  # the source is read once, when the tagged rows are written

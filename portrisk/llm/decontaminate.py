@@ -35,6 +35,8 @@ SAMPLES = 8
 #: Two: at MAX_EDITS, items of 120 words are found; with three, 6 % of them were not.
 PLACES = 2
 BLOCK_BYTES = 16_000_000
+#: Words of the windows that are sampled together.
+WINDOW_WORDS = 1 << 18
 SEED = 20_240_601
 
 
@@ -56,7 +58,38 @@ class ItemIndex:
         for n, at in self.by_size.items():
             for i in at:
                 self.sizes[np.searchsorted(self.pairs, pairs(words[i]))] |= np.uint64(1) << self.bit[n]
-        self.keys = {n: self.samples(np.stack([words[i] for i in at])) for n, at in self.by_size.items()}
+        # The samples of all items of a size in order, each with its item.
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, at in self.by_size.items():
+            step = self.windows_at_once(n)
+            keys = np.concatenate([self.samples(np.stack([words[i] for i in at[a: a + step]])) for a in range(0, len(at), step)])
+            owner = np.repeat(np.array(at), keys.shape[1])
+            # A sample of places past the end of the walk is the same for all and says nothing.
+            telling = ~np.isin(keys, past_the_end()).ravel()
+            flat, owner = keys.ravel()[telling], owner[telling]
+            order = np.argsort(flat, kind="stable")
+            self.keys[n] = flat[order], owner[order]
+
+    @staticmethod
+    def windows_at_once(n: int) -> int:
+        """Windows of n words that are sampled together: about WINDOW_WORDS words."""
+        return max(1, WINDOW_WORDS // n)
+
+    def lookup(self, keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+        """Items that share a sample with rows of samples, and these rows in order."""
+        known, owner = self.keys[n]
+        flat = keys.ravel()
+        low, high = np.searchsorted(known, flat, side="left"), np.searchsorted(known, flat, side="right")
+        hit = np.flatnonzero(high > low)
+        if not len(hit):
+            return []
+        count = (high - low)[hit]
+        at = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        met = np.unique(owner[at].astype(np.int64) * len(keys) + np.repeat(hit // keys.shape[1], count))
+        item, row = met // len(keys), met % len(keys)
+        edges = [0, *(np.flatnonzero(np.diff(item)) + 1).tolist(), len(item)]
+        return [(int(item[a]), row[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def edits(self, n):
         return np.floor(np.asarray(n) * self.max_edits + 1e-9).astype(np.int64)
 
@@ -89,24 +122,24 @@ class ItemIndex:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         at = np.arange(len(words))
         stop = np.repeat(edge[1:], np.diff(edge))  # windows may lack words at the end of a document
-        for n, items in self.by_size.items():
+        for n in self.by_size:
             k = int(self.edits(n))
             end = np.minimum(at + n, stop)
             double = np.zeros(len(words) + 1, dtype=np.int32)
             np.cumsum((sizes >> self.bit[n]) & np.uint64(1), out=double[1: len(sizes) + 1])
             double[len(sizes) + 1:] = double[len(sizes)]
             start = at[(double[np.maximum(end - 1, at)] - double[at] >= n - 1 - 2 * k) & (single[end] - single[at] >= n - k)]
-            for a in range(0, len(start), 4096):
-                some = start[a: a + 4096]
+            step = self.windows_at_once(n)
+            for a in range(0, len(start), step):
+                some = start[a: a + step]
                 places = some[:, None] + np.arange(n)
                 keys = self.samples(np.where(places < stop[some][:, None], words[np.minimum(places, len(words) - 1)], np.uint64(0)))
                 document = np.searchsorted(edge, some, side="right") - 1
-                for j, item in enumerate(items):
+                for item, met in self.lookup(keys, n):
                     own, own_pairs = np.sort(self.words[item]), np.sort(pairs(self.words[item]))
-                    met = np.flatnonzero((keys == self.keys[n][j]).any(axis=1))
                     # Windows that follow each other are one region, compared once.
                     breaks = np.flatnonzero((document[met][1:] != document[met][:-1]) | (np.diff(some[met]) > n)) + 1
-                    for run in np.split(met, breaks) if len(met) else []:
+                    for run in np.split(met, breaks):
                         d = int(document[run[0]])
                         low, high = max(int(edge[d]), int(some[run[0]]) - k), min(int(edge[d + 1]), int(some[run[-1]]) + n + k)
                         # The count filter once more, with this item's words and pairs only.
@@ -119,6 +152,14 @@ class ItemIndex:
         return found
 
 
+def past_the_end() -> np.ndarray:
+    """Keys of samples that hold no word, in the order of samples()."""
+    keys = np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64)
+    for _ in range(PLACES):
+        keys = mix(keys * np.uint64(0x100000001B3))
+    return keys
+
+
 def pairs(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * np.uint64(0x100000001B3) + words[1:])
 

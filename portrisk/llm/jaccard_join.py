@@ -212,8 +212,9 @@ def _tiles(members: DataFrame, similar: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, runs: int = RUNS) -> DataFrame:
     """doc_id, class_id (least id of the class), n_links, n_copies, kept (one row of each class) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(_sketch(docs, k))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    rows = cut(_sketch(docs, k).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]  # of repeated rows one leads
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), first.alias("first_row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     loose = components(_ties(nodes.where("n > 0"), runs))
     loose = cut(loose.union(loose.select(F.col("root").alias("node"), "root").distinct()))
     wanted = cut(nodes.join(loose, "node").select("node", "root", F.col("first_id").alias("want_id")))
@@ -232,11 +233,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, r
     counts = checked.where("to IS NULL").groupBy("node").agg(F.sum("n").alias("links"))
     true = components(checked.where("to IS NOT NULL").select(F.col("node").alias("a"), F.col("to").alias("b")))
     true = cut(true.union(true.select(F.col("root").alias("node"), "root").distinct()))
-    named = nodes.select("node", "first_id", "copies").join(true, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "first_id", "first_row", "copies").join(true, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node"))["node"].alias("lead"))
     judged = named.join(classes, "root").join(counts, "node", "left").select(
-        "node", F.col("class_id").cast(kind).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"), (F.col("lead") == F.col("node")).alias("lead"))
-    return rows.select("doc_id", "node", "n").join(judged, "node").select(
+        "node", F.col("class_id").cast(kind).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"), F.when(F.col("lead") == F.col("node"), F.col("first_row")).alias("lead"))
+    return rows.select("doc_id", "node", "n", "row").join(judged, "node").select(
         "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_links",
         F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"),
-        ((F.col("n") == 0) | F.col("lead") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+        ((F.col("n") == 0) | F.coalesce(F.col("lead") == F.col("row"), F.lit(False))).alias("kept"))

@@ -171,8 +171,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter | None:
     return LanguageFilter.build(sets, max(share, key=lambda k: (share[k][0], k)))
 
 
-def identify(docs: DataFrame, model: LanguageFilter | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of every row, with lang_pred and score of its whole text."""
+def identify(docs: DataFrame, model: LanguageFilter | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep of every row, with lang_pred and score (under names) of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = "text" if "text" in keep else "_text"
 
@@ -186,8 +186,8 @@ def identify(docs: DataFrame, model: LanguageFilter | None, keep: tuple[str, ...
                 langs += a
                 scores += list(b)
             columns = [batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.record_batch(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.record_batch(columns, names=[*keep, *names])
 
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(text))
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

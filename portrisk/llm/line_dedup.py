@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, small, sorted_chunks
+from portrisk.llm.common import cut, fresh, small, sorted_chunks
 from portrisk.llm.words import column_words, mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
@@ -247,10 +247,10 @@ def _all_candidates(sets: DataFrame, later: DataFrame, similar: float) -> DataFr
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     """Of the pairs of places, those whose lines reach the similarity: key of the later set, earliest place of a match."""
-    ends = cut(pairs.select(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select("b_id", "b_line")).distinct())
+    ends = cut(pairs.select(F.col("a_id").alias("end_id"), F.col("a_line").alias("end_line")).union(pairs.select("b_id", "b_line")).distinct())
     # Rows with equal ids may differ at a place: the set's key decides.
-    wanted = cut(sets.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2").join(ends, ["doc_id", "line"], "left_semi"))
-    ids = cut(ends.select(F.col("doc_id").alias("want_id")).distinct())
+    wanted = cut(sets.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2").join(ends, F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("line") == F.col("end_line")), "left_semi"))
+    ids = cut(ends.select(F.col("end_id").alias("want_id")).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, "_text")):
@@ -265,12 +265,15 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: float
     kind = docs.schema["doc_id"].dataType.simpleString()
     again = docs.select("doc_id", F.col("text").alias("_text")).join(small(ids), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
     lines = again.mapInArrow(read, f"doc_id {kind}, line int, h1 long, h2 long, words array<long>")
-    members = cut(lines.join(wanted, ["doc_id", "line", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "line", "h1", "h2"]))
+    wanted = wanted.toDF("want_id", "want_line", "want1", "want2")
+    same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("line") == F.col("want_line")) & (F.col("h1") == F.col("want1")) & (F.col("h2") == F.col("want2"))
+    members = cut(lines.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "line", "h1", "h2"]))
     # The same columns on both sides, so that one exchange of the words serves both joins.
-    a = members.toDF("a_id", "a_line", "a1", "a2", "aw")
-    b = members.toDF("b_id", "b_line", "h1", "h2", "bw")
+    a = members.toDF("a_id_", "a_line_", "a1", "a2", "aw")
+    b = members.toDF("b_id_", "b_line_", "h1", "h2", "bw")
     both = F.size(F.array_intersect("aw", "bw"))
-    return pairs.join(a, ["a_id", "a_line"]).join(b, ["b_id", "b_line"]).where(both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)).groupBy("h1", "h2").agg(
+    at = lambda x: F.col(f"{x}_id").eqNullSafe(F.col(f"{x}_id_")) & (F.col(f"{x}_line") == F.col(f"{x}_line_"))
+    return pairs.join(a, at("a")).join(b, at("b")).where(both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)).groupBy("h1", "h2").agg(
         F.min(F.struct(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line"))).alias("other"))
 
 
@@ -320,28 +323,30 @@ def removed_by_document(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return removed_lines(docs, similar).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
-    """rows, a selection of docs with id_ and key_ of each, with the removed line numbers (null: none)."""
-    gone = cut(removed_by_document(docs, similar).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed"))
+def _with_removed(docs: DataFrame, rows: DataFrame, similar: float, id_name: str, key_name: str, removed: str) -> DataFrame:
+    """rows, a selection of docs with id and text key of each, with the removed line numbers (null: none)."""
+    a, b = fresh(rows, "_id", "_key")
+    gone = cut(removed_by_document(docs, similar).select(F.col("doc_id").alias(a), F.col("text_key").alias(b), F.col("removed").alias(removed)))
     # Broadcast up to counted sizes, so that texts need no shuffle; else joined by shuffle.
-    elements = gone.agg(F.sum(F.size("removed"))).first()[0] or 0
+    elements = gone.agg(F.sum(F.size(removed))).first()[0] or 0
     gone = small(gone) if elements <= BROADCAST_LINES else gone
-    return rows.join(gone, (F.col("id_") == F.col("_id")) & (F.col("key_") == F.col("_key")), "left")
+    return rows.join(gone, F.col(id_name).eqNullSafe(F.col(a)) & (F.col(key_name) == F.col(b)), "left")
 
 
 def removed_counts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, n_removed and the removed line numbers of every row."""
     rows = docs.select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("key_"))
-    return _with_removed(docs, rows, similar).select(
+    return _with_removed(docs, rows, similar, "id_", "key_", "removed").select(
         F.col("id_").alias("doc_id"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The documents with removed lines taken out of text, n_chars renewed where there is such a column."""
-    rows = docs.select("*", F.col("doc_id").alias("id_"), F.xxhash64("text").alias("key_"))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = _with_removed(docs, rows, similar).withColumn("text", text)
+    id_name, key_name, removed = fresh(docs, "id_", "key_", "removed")
+    rows = docs.select("*", F.col("doc_id").alias(id_name), F.xxhash64("text").alias(key_name))
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(removed, i))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = _with_removed(docs, rows, similar, id_name, key_name, removed).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

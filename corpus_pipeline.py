@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portrisk.llm import decontaminate, jaccard_join, language, line_dedup, mixing
-from portrisk.llm.common import cut, small, table
+from portrisk.llm.common import cut, fresh, small, table
 
 #: Share of a text's trigrams that its language must contain.
 MIN_LANGUAGE_SCORE = 0.2
@@ -18,8 +18,9 @@ MIN_LANGUAGE_SCORE = 0.2
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; rejected ones go."""
     columns = docs.columns
-    judged = language.identify(docs, language.learn(docs), tuple(columns))
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    judged = language.identify(docs, language.learn(docs), tuple(columns), (lang, score))
+    return judged.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +36,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs joined with a table of distinct keys, null ids too."""
-    keys = small(cut(keys.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_key")).distinct()))
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")), how).select(*docs.columns)
+    a, b = fresh(docs, "_id", "_key")
+    keys = small(cut(keys.select(F.col("doc_id.id").alias(a), F.col("doc_id.text_key").alias(b)).distinct()))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(a)) & F.xxhash64("text").eqNullSafe(F.col(b)), how).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one with the least id, and of rows with this id with the least text hash."""
-    judged = cut(jaccard_join.near_duplicates(_keyed(docs)))
-    left = _judged(docs, judged.where(~F.col("kept")), "left_anti")
-    # Copies with equal ids have equal keys and are all kept so far.
-    again = cut(judged.where("kept AND n_copies > 1").groupBy("doc_id").count().where("count > 1"))
+    judged = jaccard_join.near_duplicates(_keyed(docs))
+    # Copies with equal ids have equal keys: of such a key one row is kept, or none.
+    by_key = cut(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.max("n_copies").alias("n_copies"), F.count(F.lit(1)).alias("rows")))
+    left = _judged(docs, by_key.where("NOT kept"), "left_anti")
+    again = by_key.where("kept AND n_copies > 1 AND rows > 1")
     return _judged(left, again, "left_anti").union(_judged(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

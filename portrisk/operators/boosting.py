@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from portrisk import config as C
 from portrisk.functions.scalar import sigmoid
 from portrisk.operators.blocks import sum_partitions
-from portrisk.operators.explain import make_scorer
+from portrisk.operators.explain import Scorer
 from portrisk.session import ensure_checkpoint_dir, materialize
 
 CELLS_PER_BLOCK = 65_536
@@ -402,6 +402,7 @@ class MonotoneGBTModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def __init__(self, trees=None, base=None, names=None, depth=None, losses=None):
         super().__init__()
+        self._scorers: dict = {}
         self._setDefault(featuresCol="features")
         if trees is not None:
             self._set(trees=trees, base=base, names=list(names), depth=depth, losses=[float(x) for x in losses])
@@ -414,11 +415,17 @@ class MonotoneGBTModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return len(self.tree_list())
 
     def scorer(self, spark: SparkSession, explain: bool = False):
-        """Pandas UDF from the array<double> features to the score struct."""
-        n = len(self.getOrDefault(self.names))
-        return make_scorer(
-            spark, self.tree_list(), self.getOrDefault(self.base), n, self.getOrDefault(self.depth), explain
-        )
+        """Pandas UDF from the array<double> features to the score struct; made once for a session and kept until close()."""
+        key = (spark.sparkContext.applicationId, explain)
+        if key not in self._scorers:
+            o = self.getOrDefault
+            self._scorers[key] = Scorer(spark, self.tree_list(), o(self.base), len(o(self.names)), o(self.depth), explain)
+        return self._scorers[key].udf
+
+    def close(self) -> None:
+        """Take what scoring has broadcast off the executors; a later score makes it anew."""
+        while self._scorers:
+            self._scorers.popitem()[1].close()
 
     def score(self, dataset: DataFrame, explain: bool = False) -> DataFrame:
         scores = self.scorer(dataset.sparkSession, explain)

@@ -57,8 +57,18 @@ def _leaf_rows(feature, value, cover, leaf: int, outcomes: dict[int, np.ndarray]
     return out
 
 
-def ensemble_tables(trees: list[dict], n_features: int, depth: int):
-    """Split features and thresholds, and contribution tables of the half-trees.
+def _leaf_margin(feature, value, leaf: int, outcomes: dict[int, np.ndarray]) -> np.ndarray:
+    """(patterns, 1) share of one leaf in the margin alone."""
+    reach, node = np.ones(len(next(iter(outcomes.values()))), bool), leaf
+    while node:
+        parent = (node - 1) // 2
+        reach &= outcomes[parent] == (node == 2 * parent + 2)
+        node = parent
+    return value[leaf] * reach[:, None]
+
+
+def ensemble_tables(trees: list[dict], n_features: int, depth: int, explain: bool = True):
+    """Split features and thresholds, and contribution tables of the half-trees; without explain only margins.
 
     Bit k of a pattern says that split k of the half (root, then its subtree in
     breadth-first order) sends the row right.
@@ -74,7 +84,7 @@ def ensemble_tables(trees: list[dict], n_features: int, depth: int):
             level = [c for i in level for c in (2 * i + 1, 2 * i + 2)]
     bits = len(halves[0])
     pattern = np.arange(2**bits)
-    tables = np.zeros((len(trees), 2, 2**bits, n_features + 2))
+    tables = np.zeros((len(trees), 2, 2**bits, n_features + 2 if explain else 1))
     for t, tree in enumerate(trees):
         f, v, c = (np.asarray(tree[k]) for k in ("feature", "value", "cover"))
         for i in range(inner):
@@ -84,7 +94,7 @@ def ensemble_tables(trees: list[dict], n_features: int, depth: int):
             outcomes = {node: (pattern >> k) & 1 == 1 for k, node in enumerate(nodes)}
             if f[0] < 0:
                 if side == 0:
-                    tables[t, 0, :, n_features:] = v[0]
+                    tables[t, 0, :, -2:] = v[0]  # base value and margin, or the margin
                 continue
             todo = [1 + side]
             while todo:
@@ -92,7 +102,7 @@ def ensemble_tables(trees: list[dict], n_features: int, depth: int):
                 if node < inner and f[node] >= 0:
                     todo += [2 * node + 1, 2 * node + 2]
                 else:
-                    tables[t, side] += _leaf_rows(f, v, c, node, outcomes, n_features)
+                    tables[t, side] += _leaf_rows(f, v, c, node, outcomes, n_features) if explain else _leaf_margin(f, v, node, outcomes)
     return feature, threshold, halves, tables
 
 
@@ -112,31 +122,36 @@ def score_batch(x: np.ndarray, ensemble, n_features: int, explain: bool) -> np.n
             if explain:
                 out += tables[t, side][code]
             else:
-                margin += tables[t, side, :, n_features + 1][code]
+                margin += tables[t, side, :, -1][code]
     if not explain:
         out[:, n_features + 1] = margin
     return out
 
 
-def make_scorer(spark: SparkSession, trees: list[dict], base: float, n_features: int, depth: int, explain: bool):
-    """Pandas UDF over the feature array: struct of margin, base_value and, if asked, c0, c1, ...
+class Scorer:
+    """A pandas UDF over the feature array: struct of margin, base_value and, if asked, c0, c1, ...
 
-    Only that array travels to Python.  What is broadcast grows with the number
-    of trees (40 kB each), never with the data.
+    Only that array travels to Python.  What is broadcast, once, grows with the number of trees (40 kB each, 4 kB
+    without explanation), never with the data.  ``close`` takes it off the executors.
     """
-    shared = spark.sparkContext.broadcast(ensemble_tables(trees, n_features, depth))
-    names = [f"c{i}" for i in range(n_features)] if explain else []
-
-    @F.pandas_udf(", ".join(f"{f} double" for f in ["margin", "base_value", *names]))
-    def scores(features: pd.Series) -> pd.DataFrame:
-        x = np.array(features.tolist(), dtype=float).reshape(-1, n_features)
-        s = score_batch(x, shared.value, n_features, explain)
-        table = {"margin": base + s[:, n_features + 1], "base_value": base + s[:, n_features]}
-        table.update({name: s[:, i] for i, name in enumerate(names)})
-        return pd.DataFrame(table)
-
-    # Marked nondeterministic so that filters on a score are not pushed below it and scored twice.
-    return scores.asNondeterministic()
+
+    def __init__(self, spark: SparkSession, trees: list[dict], base: float, n_features: int, depth: int, explain: bool):
+        shared = self.shared = spark.sparkContext.broadcast(ensemble_tables(trees, n_features, depth, explain))
+        names = [f"c{i}" for i in range(n_features)] if explain else []
+
+        @F.pandas_udf(", ".join(f"{f} double" for f in ["margin", "base_value", *names]))
+        def scores(features: pd.Series) -> pd.DataFrame:
+            x = np.array(features.tolist(), dtype=float).reshape(-1, n_features)
+            s = score_batch(x, shared.value, n_features, explain)
+            table = {"margin": base + s[:, n_features + 1], "base_value": base + s[:, n_features]}
+            table.update({name: s[:, i] for i, name in enumerate(names)})
+            return pd.DataFrame(table)
+
+        # Marked nondeterministic so that filters on a score are not pushed below it and scored twice.
+        self.udf = scores.asNondeterministic()
+
+    def close(self) -> None:
+        self.shared.destroy()
 
 
 def risk_drivers(contributions: Column, names=C.MODEL_FEATURES) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from portrisk import config as C
 from portrisk.operators.asof import latest_window
 from portrisk.operators.contracts import rejected_clients, valid_clients, with_violations
-from portrisk.operators.drift import finish_drift, ks_statistic, retrain_decision
+from portrisk.operators.drift import finish_drift, ks_against, retrain_decision
 from portrisk.operators.market import market_snapshots, pd_repair
 from portrisk.plans.scoring import predict_and_explain
+from portrisk.session import materialize
 from portrisk.sources.artifacts import ChurnModel
 
 
@@ -45,13 +46,17 @@ def market_refresh(
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, closes_path, batch_id)
-        spark = batch.sparkSession
-        closes = spark.read.schema(batch.schema).parquet(f"{closes_path}/batch=*")
-        fresh = pd_repair(market_snapshots(latest_window(closes), universe)).where("status = 'ok'")
+        if batch.isEmpty():
+            return  # no day was finished: no folder
+        batch.write.mode("overwrite").partitionBy("year").parquet(f"{closes_path}/batch={batch_id}")
+        # The window touches two calendar years at most; other years' files are not listed as input.
+        newest = batch.agg(F.max("date")).first()[0]
+        closes = batch.sparkSession.read.schema(batch.schema).option("basePath", closes_path).parquet(f"{closes_path}/batch=*")
+        recent = closes.where(F.col("year") >= newest.year - 1)
+        fresh = pd_repair(market_snapshots(latest_window(recent.select("date", "ticker", "close")), universe)).where("status = 'ok'")
         write_batch(fresh, snapshots_path, batch_id)
 
-    return daily_closes(ticks, lateness).writeStream.outputMode("append").foreachBatch(refresh)
+    return daily_closes(ticks, lateness).withColumn("year", F.year("date")).writeStream.outputMode("append").foreachBatch(refresh)
 
 
 # --- drift watch -----------------------------------------------------------------
@@ -82,7 +87,7 @@ def drift_watch(
     """Test every finished window against the reference; append drift rows and retrain requests.
 
     All counts of a window leave the state in one micro-batch, so a window is tested
-    exactly once and whole.
+    exactly once and whole. All windows of a batch are ranked in one pass over the reference's values.
     """
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
     reference_counts = (
@@ -91,23 +96,19 @@ def drift_watch(
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n_ref"))
-        .persist()
     )
+    reference_counts = materialize(reference_counts)  # read by every batch of a stream that may run for months
+    sizes = materialize(reference_counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref")))
 
     def test(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         batch.persist()
         windows = batch.select("window_start").distinct()
         names = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
-        every = windows.select("window_start", names)
-        both = (
-            every.join(reference_counts, "feature")
-            .select("window_start", "feature", "value", "n_ref", F.lit(0).cast("long").alias("n_cur"))
-            .unionByName(batch.select("window_start", "feature", "value", F.lit(0).cast("long").alias("n_ref"), "n_cur"))
-            .groupBy("window_start", "feature", "value")
-            .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-        )
-        stats = every.join(ks_statistic(both, ["window_start"]), ["window_start", "feature"], "left")
-        stats = stats.fillna(0, ["n_ref", "n_cur"])
+        every = windows.select("window_start", names).join(sizes, "feature", "left")
+        found = ks_against(reference_counts, batch, ["window_start"]).drop("n_ref")
+        stats = every.join(found, ["window_start", "feature"], "left").withColumnRenamed("all_ref", "n_ref").fillna(0, ["n_ref", "n_cur"])
         results = finish_drift(stats, ["window_start"], threshold, C.MIN_DRIFT_SAMPLE, "asymptotic").persist()
         write_batch(results, drift_path, batch_id)
         decisions = retrain_decision(results, ["window_start"]).where("retrain")
@@ -125,7 +126,8 @@ def score_stream(
     """Requests (client columns, event_time) to explained scores and a reject table.
 
     Repeats of (client_id, event_time) inside the watermark are dropped; a request
-    without an id counts as a repeat only if every field is equal.
+    without an id counts as a repeat only if every field is equal.  The model's tables are broadcast once, with the
+    first batch; call ``model.classifier.close()`` after the stream has ended.
     """
     fields = [c for c in requests.columns if c != "event_time"]
     key = F.coalesce(F.col("client_id").cast("string"), F.to_json(F.struct(*fields)))
@@ -137,6 +139,8 @@ def score_stream(
     )
 
     def score(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         checked = with_violations(batch).persist()
         write_batch(predict_and_explain(valid_clients(checked), model), scores_path, batch_id)
         write_batch(rejected_clients(checked), rejects_path, batch_id)

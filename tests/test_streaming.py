@@ -88,3 +88,38 @@ def test_score_stream_equals_batch(spark, folder, model, tmp_path):
     assert spark.read.parquet(good).count() == len(want)
     assert got == {r.client_id: (r.churn_probability, tuple(r.risk_drivers)) for r in want}
     assert spark.read.parquet(bad).count() == contracts.rejected_clients(raw).count()
+
+
+def test_scoring_broadcasts_once_for_many_batches(spark, folder, model, monkeypatch):
+    """What 50 micro-batches do, without the stream around them."""
+    from pyspark import SparkContext
+
+    from portrisk.sources import bridge
+
+    model.classifier.close()
+    made = []
+    real = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: made.append(1) or real(self, value))
+    clients = bridge.clients(spark, folder)
+    plans = [scoring.predict_and_explain(clients.where(F.col("client_id") % 50 == k), model) for k in range(50)]
+    assert len(made) == 1
+    want = {r.client_id: r.churn_probability for r in scoring.predict_and_explain(clients, model).collect()}
+    assert {r.client_id: r.churn_probability for r in plans[7].collect()} == {k: v for k, v in want.items() if k % 50 == 7}
+    shared = next(iter(model.classifier._scorers.values())).shared
+    model.classifier.close()
+    assert not model.classifier._scorers
+    with pytest.raises(Exception):
+        spark.sparkContext.parallelize([1]).map(lambda _: shared.value).collect()
+    plain = {r.client_id: round(r.churn_probability, 4) for r in scoring.predict_clients(clients, model).collect()}
+    assert plain.keys() == want.keys() and all(abs(plain[k] - want[k]) < 1e-9 for k in plain)
+    model.classifier.close()
+
+
+def test_refresh_writes_no_folder_for_an_empty_batch(spark, tmp_path):
+    import os
+
+    ticks = spark.createDataFrame([(T0 + dt.timedelta(hours=h), "KO", 1.0 + h) for h in range(5)], "ts timestamp, ticker string, price double")
+    src = str(tmp_path / "ticks")
+    ticks.coalesce(1).write.parquet(src)  # no day is finished
+    run(jobs.market_refresh(stream(spark, src, ticks.schema), str(tmp_path / "closes"), str(tmp_path / "snaps")), str(tmp_path / "ck"))
+    assert not os.path.exists(str(tmp_path / "closes")) and not os.path.exists(str(tmp_path / "snaps"))

@@ -360,6 +360,30 @@ _TEXTS = """CASE {c}
 ALL: dict[str, str] = {
     "client_features": _with(VALID) + f"SELECT {_FEATURES} FROM valid",
     "validate_clients": _with(VALID) + f"SELECT client_id, '' AS description, {_FEATURES} FROM valid",
+    "validate_text_clients": _with(VALID) + f"SELECT client_id, '' AS description, {_FEATURES} FROM valid WHERE client_id % 11 <> 0 AND (client_id % 13 <> 0 OR client_id % 5 = 0)",
+    "daily_closes": """WITH t AS (
+  SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS ticker, l_linenumber AS h, l_extendedprice / l_quantity AS price
+  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4','Brand#5','Brand#6','Brand#7'))
+SELECT date, ticker, round(price, 8) AS close FROM t QUALIFY row_number() OVER (PARTITION BY date, ticker ORDER BY h DESC, price DESC) = 1""",
+    # An asset without prices: zero row and column; the first jitter, 1e-8, suffices.
+    "pd_repair_missing_asset": _with(SNAPSHOT)
+    + """, wide AS (
+  SELECT as_of, asset_i, asset_j, cov FROM sigma
+  UNION ALL SELECT as_of, 'GOLD', asset, 0 FROM mu UNION ALL SELECT as_of, asset, 'GOLD', 0 FROM mu UNION ALL SELECT as_of, 'GOLD', 'GOLD', 0 FROM shrink)
+SELECT as_of, asset_i, asset_j, round(cov + CASE WHEN asset_i = asset_j THEN 1e-8 ELSE 0 END, 8) AS cov, 1e-8 AS jitter_used FROM wide""",
+    "drift_windows": """WITH v AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS w, o_totalprice AS x FROM orders),
+sizes AS (SELECT w, count(*) AS n, (SELECT count(*) FROM v) AS m FROM v GROUP BY w),
+ref AS (SELECT x, sum(count(*)) OVER (ORDER BY x) AS upto FROM v GROUP BY x),
+gap AS (
+  SELECT w, max(abs(upto / m - c / n)) AS d FROM (
+    SELECT s.w, s.n, s.m, r.upto, sum(coalesce(k, 0)) OVER (PARTITION BY s.w ORDER BY r.x) AS c
+    FROM sizes s CROSS JOIN ref r LEFT JOIN (SELECT w, x, count(*) AS k FROM v GROUP BY ALL) q ON q.w = s.w AND q.x = r.x) GROUP BY w),
+p AS (
+  SELECT w, n, m, d, CASE WHEN m * n / (m + n) * d * d < 0.02 THEN 1.0 ELSE
+    least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * m * n / (m + n) * d * d))))) END AS p
+  FROM gap JOIN sizes USING (w))
+SELECT w AS window_start, 'o_totalprice' AS feature_name, n >= 5 AND p < 0.05 AS drift_detected, CASE WHEN n >= 5 THEN round(p, 8) END AS p_value, 'ks_2samp' AS stat_test,
+  CASE WHEN n >= 5 THEN round(d, 8) END AS ks_statistic, CASE WHEN n >= 5 THEN 'series' END AS p_method, m AS n_ref, n AS n_cur FROM p""",
     "rejected_clients": _with(CLIENT_RAW)
     + f"""SELECT client_id, CASE WHEN v <> '' THEN v ELSE 'exposure:above_one' END AS violations,
        CASE WHEN v = '' THEN printf('crypto_ratio (%.2f) + tech_stocks_ratio (%.2f) = %.2f > 1.0',

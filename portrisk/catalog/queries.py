@@ -22,6 +22,7 @@ from portrisk.plans.training import run_training
 from portrisk.sources import bridge, prices
 from portrisk.sources.bridge import BRIDGE_UNIVERSE
 from portrisk.sources.clients import feature_columns
+from portrisk.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +111,18 @@ def rejected_clients(spark, d):
     return bad.select("client_id", F.array_join("violations", "|").alias("violations"), "message")
 
 
+def validate_text_clients(spark, d):
+    """The contract on rows whose fields are all text, some of them lax numbers and some none."""
+    raw = bridge.client_raw(spark, d)
+    k = F.col("client_id")
+    given = F.when(k % 11 == 0, F.concat(F.lit("c"), k.cast("string"))).when(k % 7 == 0, F.concat(k.cast("string"), F.lit(".0"))).otherwise(k.cast("string"))
+    text = raw.select(
+        given.alias("client_id"),
+        *[F.when(k % 5 == 0, F.concat(F.lit(" "), F.col(c).cast("string"))).when(k % 13 == 0, F.lit("n/a") if c == "crypto_ratio" else F.col(c).cast("string")).otherwise(F.col(c).cast("string")).alias(c) for c in C.ALL_FEATURES],
+    )
+    return rounded(contracts.valid_clients(text).select("client_id", "description", *C.ALL_FEATURES))
+
+
 def prices_window(spark, d):
     return year_window(spark, d).select("date", "ticker", F.round("close", 4).alias("close"))
 
@@ -211,6 +224,34 @@ def pd_repair(spark, d):
     return rounded(rows.select("as_of", "n_days", "jitter_used", "shrinkage"), 8)
 
 
+def pd_repair_missing_asset(spark, d):
+    """The repaired matrix of a universe with an asset that has no price: its row is zero, and jitter makes it definite."""
+    universe = [*BRIDGE_UNIVERSE, C.Asset(7, "GOLD", "Brand#none", "other")]
+    rows = market.pd_repair(market.market_snapshots(year_window(spark, d), universe)).where("status = 'ok'")
+    cells = market.market_cov(rows.withColumn("jitter", F.col("jitter_used")), universe)
+    return rounded(cells.join(rows.select("as_of", "jitter_used"), "as_of"), 8)
+
+
+def daily_closes(spark, d):
+    """The batch form of the market stream's first step: the last tick of each ticker and day."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity")
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand").where(F.col("p_brand").isin(*bridge.BRANDS))
+    ticks = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(hours=F.col("l_linenumber").cast("int"))).alias("ts"),
+        F.col("p_brand").alias("ticker"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return rounded(jobs.daily_closes(ticks), 8)
+
+
+def drift_windows(spark, d):
+    """The batch form of the drift watch: orders by month against the orders of all months, many samples of one reference."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    values = orders.select(F.date_trunc("month", "o_orderdate").cast("date").alias("window_start"), F.lit("o_totalprice").alias("feature"), F.col("o_totalprice").alias("value"))
+    reference = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref"))
+    current = values.groupBy("window_start", "feature", "value").agg(F.count(F.lit(1)).alias("n_cur"))
+    stats = drift.ks_against(reference, current, ["window_start"])
+    return rounded(drift.finish_drift(stats, ["window_start"], C.DRIFT_P_VALUE, C.MIN_DRIFT_SAMPLE, "series"), 8)
+
+
 def asof_market_snapshot(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("order_date")
@@ -491,13 +532,13 @@ def training_report(spark, d):
 ALL: dict[str, Query] = {
     f.__name__: f
     for f in (
-        client_features, validate_clients, rejected_clients, prices_window, prices_unpivot,
+        client_features, validate_clients, validate_text_clients, rejected_clients, prices_window, prices_unpivot,
         latent_churn_score, churn_label, churn_rate, predicted_label, risk_bands, client_titles,
         asset_prices, missing_assets, price_history_check, prices_ffill, asset_returns, sample_cov,
-        lw_shrinkage, market_mu, market_cov, pd_repair, asof_market_snapshot,
+        lw_shrinkage, market_mu, market_cov, pd_repair, pd_repair_missing_asset, daily_closes, asof_market_snapshot,
         scaler_stats, assign_cluster, cluster_holding, profile_map, client_profiles, cross_features, cluster_sizes,
         roc_auc, log_loss, classification_report, stratified_split,
-        drift_ks, drift_ks_by_cluster, drift_ks_exact, drift_ks_asymptotic, retrain_decision,
+        drift_ks, drift_ks_by_cluster, drift_ks_exact, drift_ks_asymptotic, drift_windows, retrain_decision,
         profile_params, risk_aversion, asset_bounds, equal_weight_start,
         optimize_portfolios, portfolio_optimality, portfolio_utility, kkt_residual, allocation_breakdown,
         risk_drivers, churn_scores, shap_values, shap_additivity, predict_and_explain, predict_clients,

@@ -295,6 +295,7 @@ def removed_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows = _line_sets(docs, counts, similar)
     # One row for each set; of its copies in a task, only the first place travels.
     sets = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("posts").alias("posts")))
+    counts.destroy()  # the table of sets is written
     earliest = matched_sets(docs, sets, similar)
     # A set of one line that nothing matches keeps it.
     limits = cut(sets.select("h1", "h2", "first", "copies").join(earliest, ["h1", "h2"], "left").where("copies > 1 OR other IS NOT NULL").select("h1", "h2", F.least("first", "other").alias("limit")))

@@ -279,7 +279,7 @@ def test_pipeline_stages(spark):
         columns, before = docs.columns, docs.count()
         docs = stage(spark, docs, SF)
         assert docs.columns == columns and 0.5 * before < docs.count() <= before
-    assert set(queries.ALL) >= {"pipeline"} and len(queries.ALL) == 11
+    assert set(queries.ALL) >= {"pipeline"} and len(queries.ALL) == 14
 
 
 def test_pipeline_judges_rows_with_equal_and_null_ids(spark, tmp_path):

@@ -55,6 +55,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sampled(key: Column, n: int, sample: int) -> Column:
+    """True for about sample of n rows, by all 64 bits of a hash of key; for all of them if n is no larger."""
+    if sample >= n:
+        return F.lit(True)
+    return F.xxhash64(key) < F.lit(sample_limit(n, sample))
+
+
+def sample_limit(n: int, sample: int) -> int:
+    """The signed 64-bit number that sample of n hashes lie below."""
+    return (sample << 64) // n - (1 << 63)
+
+
 #: Rows of a table that may be broadcast: at 16 bytes a key, 16 MB. Larger sides are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 

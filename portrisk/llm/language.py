@@ -6,12 +6,14 @@ corrected for the share of false positives that the fill of each slice implies,
 corrected count decides. The score is that count over the text's trigrams (0 to 1).
 
 Learning: trigrams (of letters in lower case, a gap at word ends) of labelled rows. At most about
-SAMPLE rows a language, chosen by a hash of doc_id, are read; a language contains a trigram that has
-at least MIN_SHARE of its trigrams and KEEP of the trigram's largest share in any language.
+SAMPLE ids a language, chosen by a hash, are read, with one text each (of rows with equal ids the least
+text); a language contains a trigram that has at least MIN_SHARE of its trigrams and KEEP of the
+trigram's largest share in any language.
 
 Edge cases: a null text or one without a letter is `und` with score 0; texts of unknown trigrams get
 the most frequent learned language with score 0; without any labelled row all are `und`; a null
-doc_id is never held out and never learned from; an empty table gives an empty result.
+doc_id is never held out and never learned from; an empty table gives an empty result. Long texts are
+read in pieces that end between words; a run of letters longer than WORD may be cut inside.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portrisk.llm.common import sampled
 from portrisk.llm.words import mix
 
 SAMPLE = 3000
@@ -34,6 +37,8 @@ POSITIONS = 1 << 18
 PROBES = 2
 #: Characters in numpy at a time.
 BLOCK = 1 << 18
+#: Letters by which a piece of a long text may be longer, to end between words.
+WORD = 1 << 12
 UNKNOWN = "und"
 
 
@@ -62,14 +67,14 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about BLOCK characters: number of the first one, texts."""
+    """Runs of texts of at most BLOCK characters, a longer text alone: number of the first one, texts."""
     some, at, size = [], 0, 0
     for n, t in enumerate(texts):
+        if some and size + len(t or "") > BLOCK:
+            yield at, some
+            some, at, size = [], n, 0
         some.append(t or "")
         size += len(some[-1])
-        if size >= BLOCK:
-            yield at, some
-            some, at, size = [], n + 1, 0
     if some:
         yield at, some
 
@@ -78,13 +83,21 @@ def _pieces(text: str) -> Iterator[str]:
     """A very long text in pieces that end at a character that is no letter, where there is one."""
     at = 0
     while at < len(text):
-        to = min(at + BLOCK, len(text))
-        while to < len(text) and text[to - 1].isalpha():
+        to = end = min(at + BLOCK, len(text))
+        while to < min(end + WORD, len(text)) and text[to - 1].isalpha():
             to += 1
         yield text[at:to]
         at = to
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts of a block at once, or the pieces of its only text one by one."""
+    if len(texts) == 1:
+        yield from ([piece] for piece in _pieces(texts[0]))
+    else:
+        yield texts
+
+
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
@@ -113,13 +126,12 @@ class LanguageFilter:
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Trigrams of each text, and hits by text and language."""
         counts, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        for piece, owner in ([(list(_pieces(texts[0])), None)] if len(texts) == 1 else [(texts, True)]):
-            for part in ([[x] for x in piece] if owner is None else [piece]):
-                grams, of = trigrams(part)
-                counts += np.bincount(of, minlength=len(texts))
-                masks = self.masks(grams)
-                for n in range(len(self.languages)):
-                    hits[:, n] += np.bincount(of, (masks[:, n // 64] >> np.uint64(n % 64)) & np.uint64(1), minlength=len(texts))
+        for part in _parts(texts):
+            grams, of = trigrams(part)
+            counts += np.bincount(of, minlength=len(texts))
+            masks = self.masks(grams)
+            for n in range(len(self.languages)):
+                hits[:, n] += np.bincount(of, (masks[:, n // 64] >> np.uint64(n % 64)) & np.uint64(1), minlength=len(texts))
         return counts, hits
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -144,19 +156,20 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter | None:
     """The filter from rows that are labelled and not held out; None without such rows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = {r["lang"]: (r["count"], sample / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    share = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not share:
         return None
-    limit = F.lit(0)
-    for lang, (_, part) in share.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, part) * 1_000_000))).otherwise(limit)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).select("lang", "text")
+    taken = F.lit(False)
+    for lang, n in share.items():
+        taken = F.when(F.col("lang") == lang, sampled(F.col("doc_id"), n, sample)).otherwise(taken)
+    # One text an id: an id of very many rows does not outgrow the sample.
+    chosen = rows.where(taken).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = np.array(batch.column("lang").to_pylist()), batch.column("text").to_pylist()
             for lang in np.unique(langs):
-                for _, part in _blocks([texts[i] for i in np.flatnonzero(langs == lang)]):
+                for part in (p for _, block in _blocks([texts[i] for i in np.flatnonzero(langs == lang)]) for p in _parts(block)):
                     grams, n = np.unique(trigrams(part)[0], return_counts=True)
                     yield pa.record_batch([pa.array([str(lang)] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -168,7 +181,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter | None:
     top = got.groupby("gram")["part"].transform("max")
     got = got[got["part"] >= KEEP * top]
     sets = {lang: got.loc[got["lang"] == lang, "gram"].to_numpy() for lang in share}
-    return LanguageFilter.build(sets, max(share, key=lambda k: (share[k][0], k)))
+    return LanguageFilter.build(sets, max(share, key=lambda k: (share[k], k)))
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Native: DataFrame functions only, one pass, no shuffle; every text is judged in its own row, whole.
 A text with no keyword costs one word count. Other texts become a string of lower-case words with
-single spaces. Of the rules, only those whose keywords occur run. Splitting the string at a rule's
-matches gives all intervals. A detection goes when another one of the same or a higher priority
+single spaces. Of the rules, only those whose keywords occur run; marks put around a rule's matches give
+all intervals, word by word. A detection goes when another one of the same or a higher priority
 contains its interval (equal ones: the rule that comes first stays).
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Base phrases are rules too,
@@ -15,7 +15,9 @@ with equal ids stay separate rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -108,11 +110,85 @@ SENTENCES: tuple[tuple[str, str, int], ...] = (
     ("research-only", r"for research (?:purposes|use) only", NOTICE),
     ("no-derivatives", r"no derivative works", MENTION),
     ("terms-of-use", r"subject to (?:the|our) terms of (?:use|service)", MENTION),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", FULL),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to", FULL),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", FULL),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", FULL),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", FULL),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", FULL),
+    ("bsd-4", r"this product includes software developed by .{1,80} contributors", NOTICE),
+    ("bsd-clear", r"no express or implied licenses to any party s patent rights are granted by this license", FULL),
+    ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license", FULL),
+    ("apache-2", r"licensed to the apache software foundation asf under one or more contributor license agreements", FULL),
+    ("apache-2", r"grant of patent license subject to the terms and conditions of this license each contributor hereby grants", FULL),
+    ("apache-1.1", r"the names .{1,60} must not be used to endorse or promote products derived from this software without prior written permission", FULL),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", FULL),
+    ("gpl", r"you should have received a copy of the gnu general public license along with this program", FULL),
+    ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", FULL),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with", FULL),
+    ("lgpl", r"this version of the gnu lesser general public license incorporates the terms and conditions", FULL),
+    ("agpl", r"you should have received a copy of the gnu affero general public license along with", FULL),
+    ("agpl", r"remote network interaction use with the gnu general public license", FULL),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", FULL),
+    ("gpl-classpath", r"linking this library statically or dynamically with other modules is making a combined work .{1,160} general public license", FULL),
+    ("mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at .{0,40}mozilla org", FULL),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", FULL),
+    ("mpl-2", r"incompatible with secondary licenses as defined by the mozilla public license", NOTICE),
+    ("epl-1", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", FULL),
+    ("epl-2", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0", FULL),
+    ("cddl-1", r"the contents of this file are subject to the terms of the common development and distribution license", FULL),
+    ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone", FULL),
+    ("bsl-1", r"boost software license version 1 0 august 17th 2003", FULL),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software .{0,200}copyright", FULL),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", FULL),
+    ("artistic-2", r"the artistic license 2 0 copyright c 2000 2006 the perl foundation", FULL),
+    ("artistic-1", r"the intent of this document is to state the conditions under which a package may be copied such that the copyright holder", FULL),
+    ("python-2", r"this license agreement is between the python software foundation psf and the individual or organization", FULL),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", FULL),
+    ("openssl", r"redistributions of any form whatsoever must retain the following acknowledgment .{0,80}openssl", FULL),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license", FULL),
+    ("ofl-1.1", r"neither the font software nor any of its individual components .{1,80} may be sold by itself .{0,200}copyright", FULL),
+    ("odbl-1", r"this database is made available under the open database license", FULL),
+    ("odbl-1", r"any rights in individual contents of the database are licensed under the database contents license", FULL),
+    ("odc-by-1", r"made available under the open data commons attribution license", FULL),
+    ("pddl-1", r"made available under the public domain dedication and license", FULL),
+    ("ms-pl", r"if you use the software you accept this license if you do not accept the license do not use the software", FULL),
+    ("eupl-1.2", r"licensed under the eupl version 1 2 or as soon they will be approved by the european commission", FULL),
+    ("cecill-2.1", r"this software is governed by the cecill license under french law", FULL),
+    ("afl-3", r"licensed under the academic free license version 3 0", FULL),
+    ("osl-3", r"licensed under the open software license version 3 0", FULL),
+    ("cc0-1", r"the person who associated a work with this deed has dedicated the work to the public domain", FULL),
+    ("cc-by-sa", r"text is available under the creative commons attribution share ?alike license", FULL),
+    ("cc-by", r"this is an open access article distributed under the terms of the creative commons attribution license", FULL),
+    ("cc-by-nc", r"this is an open access article distributed under the terms of the creative commons attribution non ?commercial license", FULL),
+    ("cc-by", r"this work is licensed under a creative commons attribution (?:[1-4] [05] )?international license", FULL),
+    ("busl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", FULL),
+    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service .{0,200}licen[cs]e", FULL),
+    ("elastic-2", r"elastic license (?:version )?2 0", NOTICE),
+    ("sspl-1", r"server side public license", NOTICE),
+    ("commons-clause", r"the license does not grant to you the right to sell the software", FULL),
+    ("polyform-nc", r"polyform noncommercial license", NOTICE),
+    ("openrail", r"you agree not to use the model or derivatives of the model .{0,200}licen[cs]e", FULL),
+    ("llama", r"llama [23](?: [0-9])? community license agreement", FULL),
+    ("gemma", r"gemma terms of use", NOTICE),
+    ("non-commercial", r"(?:may not|must not|cannot) be used for commercial purposes .{0,80}licen[cs]e", NOTICE),
+    ("non-commercial", r"free for (?:personal|academic|educational) use .{0,60}licen[cs]e", NOTICE),
+    ("no-redistribution", r"redistribution .{0,60}(?:is|are) (?:strictly )?prohibited", NOTICE),
+    ("no-redistribution", r"no part of this (?:publication|book|work|document) may be reproduced .{0,200}permission", FULL),
+    ("reprint", r"reprinted (?:here )?(?:with|by) permission", NOTICE),
+    ("open-government-3", r"contains public sector information licensed under the open government licence v3 0", FULL),
+    ("us-government", r"works? of the (?:united states|u s|us) government .{0,80}copyright", NOTICE),
+    ("proprietary", r"this software is the confidential and proprietary information of", FULL),
+    ("no-training", r"(?:may not|must not|shall not) be used (?:to train|for training|in the training of) .{0,120}permission", NOTICE),
 )
 
 
 FOUND = "array<struct<n:int,p:int,label:string,a:int,b:int>>"
 KEPT = "array<struct<label:string,p:int,a:int,b:int>>"
+#: Marks around a match; no word has these characters.
+BEGIN, END = "\x01", "\x02"
+#: Detections that are judged at a time.
+RUN = 512
 
 
 @dataclass(frozen=True)
@@ -169,31 +245,24 @@ def rules() -> tuple[Rule, ...]:
 
 
 def _literal(rows: tuple[Rule, ...]) -> Column:
-    """The rules as an array of constants: number, priority, pattern by whole words, keyword."""
-    return F.array(*[F.struct(
-        F.lit(n).alias("n"), F.lit(r.priority).alias("p"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-        F.array(*map(F.lit, r.hints)).cast("array<string>").alias("hints"),
-        F.lit(rf"(?<![^ ])(?:{r.pattern})(?![^ ])").alias("pattern")) for n, r in enumerate(rows)])
-
-
-def _spaces(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    """The rules as one constant: number, priority, label, keyword, hints, pattern by whole words."""
+    own = [{"n": n, "p": r.priority, "label": r.label, "keyword": r.keyword, "hints": r.hints, "pattern": rf"(?<![^ ])(?:{r.pattern})(?![^ ])"} for n, r in enumerate(rows)]
+    return F.from_json(F.lit(json.dumps(own)), "array<struct<n:int,p:int,label:string,keyword:string,hints:array<string>,pattern:string>>")
 
 
 def _places(text: Column, rule: Column) -> Column:
-    """First and last word of each match of a rule."""
-    def intervals(found: Column, rest: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("all"))
-        def step(acc: Column, k: Column) -> Column:
-            a = acc["at"] + _spaces(F.get(rest, k))
-            b = a + _spaces(F.get(found, k))
-            one = F.struct(rule["n"].alias("n"), rule["p"].alias("p"), rule["label"].alias("label"), a.alias("a"), b.alias("b"))
-            return F.struct(b.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["all"])
+    """First and last word of each match of a rule: the text with its matches between marks, word by word."""
+    def at(words: Column, mark: Callable[[Column], Column]) -> Column:
+        return F.array_compact(F.transform(words, lambda w, i: F.when(mark(w), i)))
+
+    def intervals(words: Column) -> Column:
+        ends = at(words, lambda w: F.endswith(w, F.lit(END)))
+        return let(ends, lambda end: F.transform(at(words, lambda w: F.startswith(w, F.lit(BEGIN))), lambda a, k: F.struct(
+            rule["n"].alias("n"), rule["p"].alias("p"), rule["label"].alias("label"), a.alias("a"), F.get(end, k).alias("b"))))
 
     none = F.array().cast(FOUND)
-    return let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(
-        let(F.split(text, rule["pattern"], -1), lambda rest: intervals(found, rest))))
+    return let(F.regexp_replace(text, rule["pattern"], F.lit(f"{BEGIN}$0{END}")), lambda marked: F.when(marked == text, none).otherwise(
+        let(F.split(marked, " ", -1), intervals)).cast(FOUND))
 
 
 def _detections(text: Column, table: Column) -> Column:
@@ -207,14 +276,24 @@ def _kept(found: Column) -> Column:
     order = F.array_sort(F.transform(found, lambda d: F.struct(
         d["a"].alias("a"), (-d["b"]).alias("minus_b"), (-d["p"]).alias("minus_p"), d["n"].alias("n"), d["b"].alias("b"), d["p"].alias("p"), d["label"].alias("label"))))
     levels = range(1, FULL + 1)
-    start = F.struct(*[F.lit(-1).alias(f"e{p}") for p in levels], F.array().cast(KEPT).alias("all"))
+    ends = [f"e{p}" for p in levels]
+
     def step(acc: Column, d: Column) -> Column:
-        reach = F.element_at(F.array(*[acc[f"e{p}"] for p in levels]), d["p"])
+        reach = F.element_at(F.array(*[acc[e] for e in ends]), d["p"])
         keep = F.array(F.struct(d["label"].alias("label"), d["p"].alias("p"), d["a"].alias("a"), d["b"].alias("b")))
         return F.struct(
-            *[F.when(d["p"] >= p, F.greatest(acc[f"e{p}"], d["b"])).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in levels],
+            *[F.when(d["p"] >= p, F.greatest(acc[e], d["b"])).otherwise(acc[e]).alias(e) for p, e in zip(levels, ends, strict=True)],
             F.when(reach >= d["b"], acc["all"]).otherwise(F.concat(acc["all"], keep)).alias("all"))
-    return F.aggregate(order, start, step, lambda acc: acc["all"])
+
+    # Arrays grow by copies, so a run of detections gets an array of its own.
+    def run(order: Column, acc: Column, k: Column) -> Column:
+        own = F.struct(*[acc[e].alias(e) for e in ends], F.array().cast(KEPT).alias("all"))
+        return let(F.aggregate(F.slice(order, k * RUN + 1, F.lit(RUN)), own, step), lambda part: F.struct(
+            *[part[e].alias(e) for e in ends], F.concat(acc["runs"], F.array(part["all"])).alias("runs")))
+
+    start = F.struct(*[F.lit(-1).alias(e) for e in ends], F.array().cast(f"array<{KEPT}>").alias("runs"))
+    return let(order, lambda order: F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(order) - 1) / RUN).cast("int")), start, lambda acc, k: run(order, acc, k), lambda acc: F.flatten(acc["runs"])))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,3 +141,39 @@ def test_a_large_segment_is_dealt_out(spark):
     windows = re.findall(r"Window \[sum\(n_(?:ref|cur)#\d+L\) .*?\], \[(.*?)\], \[value", plan)
     assert windows and all(re.fullmatch(r"seg#\d+, feature#\d+, bucket#\d+", w) for w in windows)
     assert re.search(r"hashpartitioning\(seg#\d+, feature#\d+, bucket#\d+", plan)
+
+
+def test_exact_p_value_of_large_samples():
+    """Against the closed form of equal sizes; time and memory follow the band, not the product of the sizes."""
+    import time
+
+    n, begun = 400_000, time.time()
+    for h in (600, 1100, 4000):
+        log = [math.lgamma(n + 1) * 2 - math.lgamma(n - k * h + 1) - math.lgamma(n + k * h + 1) for k in range(1, 60) if k * h <= n]
+        closed = 2 * sum((-1) ** k * math.exp(x) for k, x in enumerate(log))
+        assert drift.exact_p_value(h / n, n, n) == pytest.approx(closed, rel=1e-7)
+    assert drift.exact_p_value(0.05, 2_000_000, 1_999_999) == 0.0  # below any double
+    assert time.time() - begun < 60
+
+
+def test_exact_rows_are_dealt_out(spark):
+    rows = spark.createDataFrame([("x", 50, 60, 0.2)], "feature string, n_ref long, n_cur long, ks_statistic double")
+    plan = drift.finish_drift(rows, [], 0.05, 5, "exact")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
+
+
+def test_exact_p_value_of_uneven_samples():
+    """Against the walk step by step."""
+    for m, n, d in ((700, 311, 0.11), (150, 1201, 0.05), (400, 401, 0.2), (900, 7, 0.4)):
+        lcm = math.lcm(m, n)
+        h, alive = round(d * lcm), {0: 1.0}
+        outside = 0.0
+        for k in range(m + n):
+            after = {}
+            for j, x in alive.items():
+                up = (n - j) / (m + n - k)
+                for to, y in ((j, x * (1 - up)), (j + 1, x * up)):
+                    after[to] = after.get(to, 0.0) + y
+            alive = {j: x for j, x in after.items() if abs((k + 1 - j) * (lcm // m) - j * (lcm // n)) < h}
+            outside += sum(x for j, x in after.items() if j not in alive)
+        assert drift.exact_p_value(h / lcm, m, n) == pytest.approx(outside, rel=1e-11)

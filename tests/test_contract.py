@@ -96,3 +96,20 @@ def test_text_client_id_is_a_violation_not_an_error(spark):
     df = df.select("client_id", *[F.lit(str(v)).alias(k) for k, v in names.items()])
     assert sorted(r.client_id or 0 for r in valid_clients(df).collect()) == [0, 12, 9001]
     assert {r.client_id: r.violations for r in rejected_clients(df).collect()} == {"x7": ["client_id:not_integer"], "1.5": ["client_id:not_integer"]}
+
+
+def test_parts_meet_lines_without_the_driver(spark, tmp_path):
+    from portrisk.sources import bridge
+
+    tables = {
+        "customer": ("c_custkey long, c_acctbal double", [(1, 10.0), (2, None)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double", []),
+        "lineitem": ("l_orderkey long, l_partkey long, l_extendedprice double, l_returnflag string", [(1, 1, 5.0, "R")]),
+        "part": ("p_partkey long, p_type string", [(1, "PROMO")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    raw = bridge.client_raw(spark, str(tmp_path))
+    assert raw.count() == 2
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan

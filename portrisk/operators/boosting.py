@@ -30,7 +30,8 @@ from portrisk.operators.explain import Scorer
 from portrisk.session import ensure_checkpoint_dir, materialize
 
 CELLS_PER_BLOCK = 65_536
-CELLS_PER_PARTITION = 500_000
+CELLS_PER_PARTITION = 500_000  # of the written blocks, whose content decides the row sample
+CELLS_PER_TASK = 50_000  # the least worth a task of a pass
 REFRESH_EVERY = 10  # rounds between rewrites of the cached margins
 CHECKPOINT_EVERY = 50  # rounds between lineage cuts
 MIN_GAIN = 1e-6
@@ -275,8 +276,12 @@ class MonotoneGBTClassifier(Estimator, DefaultParamsReadable, DefaultParamsWrita
             w = np.frombuffer(r.counts, np.int64).reshape(-1, 4)
             return list(r.key), x, w, np.full(len(x), base)
 
-        # Written once: a lost or evicted block is read again, not joined and binned again.
-        state = materialize(packed).coalesce(parts).rdd.map(unpack).persist(STORAGE)
+        # Written once: a lost or evicted block is read again, not joined and binned again. Blocks stay whole and are
+        # dealt out over the cores, so a pass is as long as the share of one core.
+        tasks = min(dataset.sparkSession.sparkContext.defaultParallelism, math.ceil(summary.cells / CELLS_PER_TASK))
+        written = materialize(packed)
+        written = written.repartition(tasks) if tasks > parts else written.coalesce(parts)
+        state = written.rdd.map(unpack).persist(STORAGE)
         state.count()
         cells.unpersist()
         try:
@@ -416,11 +421,18 @@ class MonotoneGBTModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def scorer(self, spark: SparkSession, explain: bool = False):
         """Pandas UDF from the array<double> features to the score struct; made once for a session and kept until close()."""
+        return self._scorer(spark, explain).udf
+
+    def scorer_along(self, spark: SparkSession, moves):
+        """Pandas UDF from the features to a struct of the margins after each move (feature number, value)."""
+        return self._scorer(spark, False).along(moves)
+
+    def _scorer(self, spark: SparkSession, explain: bool) -> Scorer:
         key = (spark.sparkContext.applicationId, explain)
         if key not in self._scorers:
             o = self.getOrDefault
             self._scorers[key] = Scorer(spark, self.tree_list(), o(self.base), len(o(self.names)), o(self.depth), explain)
-        return self._scorers[key].udf
+        return self._scorers[key]
 
     def close(self) -> None:
         """Take what scoring has broadcast off the executors; a later score makes it anew."""

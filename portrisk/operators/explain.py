@@ -128,6 +128,32 @@ def score_batch(x: np.ndarray, ensemble, n_features: int, explain: bool) -> np.n
     return out
 
 
+def margins_along(x: np.ndarray, ensemble, n_features: int, moves) -> np.ndarray:
+    """(moves, rows) margins of the rows with one feature set to a value, for each move (feature, value).
+
+    The splits are evaluated once; a move only replaces the outcomes of the splits on its feature.
+    """
+    feature, threshold, halves, tables = ensemble
+    columns = [np.ascontiguousarray(x[:, f]) for f in range(n_features)]
+    out = np.zeros((len(moves), len(x)))
+    for t in range(len(feature)):
+        right = [columns[feature[t, i]] >= threshold[t, i] for i in range(feature.shape[1])]
+        for side, nodes in enumerate(halves):
+            code = np.zeros(len(x), dtype=np.uint8)  # a half has at most eight splits
+            for k, node in enumerate(nodes):
+                code |= right[node].view(np.uint8) << np.uint8(k)
+            table = np.ascontiguousarray(tables[t, side, :, -1])
+            shares: dict[tuple[int, int], np.ndarray] = {}  # by bits replaced and their values
+            for j, (f, value) in enumerate(moves):
+                own = [(k, node) for k, node in enumerate(nodes) if feature[t, node] == f]
+                mask = sum(1 << k for k, _ in own)
+                bits = sum(1 << k for k, node in own if value >= threshold[t, node])
+                if (mask, bits) not in shares:
+                    shares[mask, bits] = table[code & np.uint8(255 - mask) | np.uint8(bits)]
+                out[j] += shares[mask, bits]
+    return out
+
+
 class Scorer:
     """A pandas UDF over the feature array: struct of margin, base_value and, if asked, c0, c1, ...
 
@@ -137,6 +163,7 @@ class Scorer:
 
     def __init__(self, spark: SparkSession, trees: list[dict], base: float, n_features: int, depth: int, explain: bool):
         shared = self.shared = spark.sparkContext.broadcast(ensemble_tables(trees, n_features, depth, explain))
+        self.base, self.n_features = base, n_features
         names = [f"c{i}" for i in range(n_features)] if explain else []
 
         @F.pandas_udf(", ".join(f"{f} double" for f in ["margin", "base_value", *names]))
@@ -150,6 +177,17 @@ class Scorer:
         # Marked nondeterministic so that filters on a score are not pushed below it and scored twice.
         self.udf = scores.asNondeterministic()
 
+    def along(self, moves):
+        """A pandas UDF over the feature array: struct of m0, m1, ..., the margin after each move (feature, value)."""
+        shared, base, n_features, moves = self.shared, self.base, self.n_features, list(moves)
+
+        @F.pandas_udf(", ".join(f"m{j} double" for j in range(len(moves))))
+        def margins(features: pd.Series) -> pd.DataFrame:
+            x = np.array(features.tolist(), dtype=float).reshape(-1, n_features)
+            return pd.DataFrame({f"m{j}": m for j, m in enumerate(base + margins_along(x, shared.value, n_features, moves))})
+
+        return margins.asNondeterministic()
+
     def close(self) -> None:
         self.shared.destroy()
 

@@ -22,24 +22,17 @@ def monotonicity_audit(clients: DataFrame, model: ChurnModel, grid=GRID, signs=C
     """(feature, n_pairs, n_violations): each client's score along a grid of one feature.
 
     All grid points of a client are scored side by side in its own row, in one
-    Python pass, so neighbours are compared without a shuffle.
+    Python pass that evaluates each split once, so neighbours are compared without a shuffle.
     """
     rows = model.segments.transform(clients).select("features")
-    scores = model.classifier.scorer(rows.sparkSession)
-
-    def moved(position: int, value: float):
-        return F.transform("features", lambda a, k: F.when(k == position, value).otherwise(a))
-
-    points = {
-        f"{f}:{i}": scores(moved(C.MODEL_FEATURES.index(f), v))["margin"]
-        for f, values in grid.items()
-        for i, v in enumerate(values)
-    }
-    scored = rows.select(*[p.alias(name) for name, p in points.items()])
+    points = [(f, i, v) for f, values in grid.items() for i, v in enumerate(values)]
+    scores = model.classifier.scorer_along(rows.sparkSession, [(C.MODEL_FEATURES.index(f), v) for f, _, v in points])
+    at = {(f, i): F.col(f"margins.m{j}") for j, (f, i, _) in enumerate(points)}
+    scored = rows.select(scores("features").alias("margins"))
     counts, cells = [], []
     for f, values in grid.items():
         sign = signs[C.MODEL_FEATURES.index(f)]
-        steps = [F.col(f"`{f}:{i + 1}`") - F.col(f"`{f}:{i}`") for i in range(len(values) - 1)]
+        steps = [at[f, i + 1] - at[f, i] for i in range(len(values) - 1)]
         bad = total([F.when(sign * d < -1e-12, 1).otherwise(0) for d in steps])
         counts += [F.sum(F.lit(len(steps))).alias(f"n_{f}"), F.sum(bad).alias(f"bad_{f}")]
         cells.append(

@@ -245,3 +245,68 @@ def test_split_of_repeated_and_missing_keys(spark):
     assert "materialize" not in parts.columns and parts.columns == ["client_id", "n", "churn", "part"]
     plan = parts._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan  # the source is read once, when the tagged rows are written
+
+
+def test_margins_along_a_grid_are_those_of_moved_rows():
+    import numpy as np
+
+    from portrisk.operators import explain
+
+    rng = np.random.default_rng(8)
+    trees = []
+    for depth in (4, 4, 2, 0):
+        f = np.full(31, -1)
+        f[: 2**depth - 1] = rng.integers(0, 3, 2**depth - 1)
+        f[2] = -1  # a leaf above the last level
+        trees.append({"feature": f, "threshold": rng.normal(size=31), "value": rng.normal(size=31), "cover": np.ones(31)})
+    ensemble = explain.ensemble_tables(trees, 3, 4, False)
+    x = rng.normal(size=(500, 3))
+    x[7, 1] = np.nan
+    moves = [(0, -1.0), (0, 0.0), (0, trees[0]["threshold"][0]), (2, 0.3), (2, 9.0)]
+    got = explain.margins_along(x, ensemble, 3, moves)
+    for j, (f, v) in enumerate(moves):
+        moved = x.copy()
+        moved[:, f] = v
+        assert np.array_equal(got[j], explain.score_batch(moved, ensemble, 3, False)[:, -1])
+
+
+def test_one_vector_of_a_pass_reaches_the_driver(spark):
+    import numpy as np
+
+    from portrisk.operators import blocks
+
+    sc = spark.sparkContext
+    for n in (1, 9, 70):
+        sc.setJobGroup(f"vectors-{n}", "")
+        got = blocks.sum_partitions(sc.parallelize(range(n), n), lambda it: np.full(5, float(sum(it))))
+        sc.setJobGroup("none", "")
+        assert got.tolist() == [n * (n - 1) / 2] * 5
+        for job in sc.statusTracker().getJobIdsForGroup(f"vectors-{n}"):
+            stages = sc.statusTracker().getJobInfo(job).stageIds
+            assert sc.statusTracker().getStageInfo(max(stages)).numTasks == 1
+
+
+def test_blocks_dealt_out_give_the_same_trees(spark, labelled, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from portrisk import config as C
+    from portrisk.operators import boosting
+
+    rows = labelled.withColumn("features", F.array(*[F.col(c).cast("double") for c in (*C.CHURN_FEATURES, *C.CLUSTER_FEATURES)]))
+    fit = lambda: boosting.MonotoneGBTClassifier(rounds=6).fit(rows).tree_list()
+    tasks = []
+    sums = boosting.sum_partitions
+    monkeypatch.setattr(boosting, "sum_partitions", lambda rdd, f: tasks.append(rdd.getNumPartitions()) or sums(rdd, f))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # blocks of 100 cells
+    try:
+        whole = fit()
+        assert set(tasks) == {1}
+        monkeypatch.setattr(boosting, "CELLS_PER_TASK", 100)
+        tasks.clear()
+        dealt = fit()
+        assert set(tasks) == {4}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, b in zip(whole, dealt, strict=True):
+        assert a["feature"] == b["feature"] and a["threshold"] == b["threshold"] and np.allclose(a["value"], b["value"], atol=1e-9)

@@ -10,8 +10,10 @@ earlier one (by doc_id, then by line number) matches it, removed itself or not.
 3. Prefix filter: matching sets share one of their first n - ceil(SIMILAR n) + 1 words. Postings meet by word under
    the length filter, the positional filter, and a bound from 128-bit parities of the sets: the words in
    which two sets differ are at least the bits in which their parities do. All three are lossless. A set needs one
-   earlier match only, so each posting yields one candidate at most, never all pairs of a group.
+   earlier match only, so each posting yields one candidate at most, never all pairs of a group. A task sends its
+   postings as Arrow batches, one for each range of words.
 4. The lines of candidate pairs are read again and compared exactly. Sets whose candidates all fail meet all of theirs.
+   Only the lines asked for leave the task that reads their document.
 
 Edge cases: lines without a word and null texts are never removed or matched; rows with equal ids share their
 places, so they lose lines to smaller ids and lines only; a null id comes before all others, and its rows lose no
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, fresh, small, sorted_chunks
+from portrisk.llm.common import cut, fresh, small, sorted_chunks, sorted_groups
 from portrisk.llm.words import column_words, mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
@@ -37,6 +40,10 @@ BLOCK_BITS = 12
 HOT = 20_000
 TILE = 5_000
 POSTING = ("doc_id", "line", "n_at", "p0", "p1")
+#: Ranges of words at least, postings of a range above that, and postings that a task sends at once.
+RANGES = 1024
+RANGE = 500_000
+AT_ONCE = 1_000_000
 #: Removed line numbers that may be broadcast: 16 MB.
 BROADCAST_LINES = 4_000_000
 
@@ -116,7 +123,10 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
-    """A row for each line: key, place, number of words, parities, and the prefix words that others may share."""
+    """A row for each line: key, place, number of words, parities, and the prefix words that others may share.
+
+    text_key tells rows with equal ids apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         for batch in (x for b in batches for x in slices(b, "_text")):
@@ -133,24 +143,25 @@ def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
             place = np.arange(len(words)) - at[:-1][line]
             prefix = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
             chosen = (place < prefix[line]) & (count[order] > 1)
-            words, place, of = words[order][chosen], place[chosen], line[chosen]
-            edges = pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32))
-            # 40 bits of the word and its place; equal bits of two words, or a place cut to 24 bits, only let more through the filters.
-            posts = pa.ListArray.from_arrays(edges, pa.array((words & ~np.uint64(0xFFFFFF) | np.minimum(place, 0xFFFFFF).astype(np.uint64)).view(np.int64)))
+            words, of = words[order][chosen], line[chosen]
+            edges = np.searchsorted(of, np.arange(len(n) + 1))
+            # 32 bits of each word; equal bits of two words only let more through the filters. The words left out are
+            # the rarest, so the others have the places from skip on.
+            posts = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array((words >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.record_batch([
-                batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                pa.array(n.astype(np.int32)), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), posts],
-                names=["doc_id", "line", "h1", "h2", "n", "p0", "p1", "posts"])
+                *[batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_key")], pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                pa.array(n.astype(np.int32)), pa.array((prefix - np.diff(edges)).astype(np.int32)), pa.array(parity[0].view(np.int64)), pa.array(parity[1].view(np.int64)), posts],
+                names=["doc_id", "text_key", "line", "h1", "h2", "n", "skip", "p0", "p1", "posts"])
 
-    source = docs.select("doc_id", F.col("text").alias("_text"))
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, line int, h1 long, h2 long, n int, p0 long, p1 long, posts array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, text_key long, line int, h1 long, h2 long, n int, skip int, p0 long, p1 long, posts array<int>")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("first", "n", "p0", "p1", F.explode("posts").alias("p")).select(
-        F.shiftrightunsigned("p", 24).alias("word"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
-        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("p").bitwiseAND(0xFFFFFF)).alias("n_at"), "p0", "p1")
+    return sets.select("first", "n", "skip", "p0", "p1", F.posexplode("posts").alias("at", "word")).select(
+        "word", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("skip") + F.col("at")).alias("n_at"), "p0", "p1")
 
 
 def _placed(posts: DataFrame, similar: float) -> DataFrame:
@@ -180,9 +191,10 @@ def _first_candidates(sets: DataFrame, similar: float) -> DataFrame:
     # The share that is counted decides how the work is dealt out, not what is found.
     rate = max(1, HOT // 300)
     hot = cut(posts.where(F.pmod(F.xxhash64("doc_id", "line"), F.lit(rate)) == 0).groupBy("word").count().where(F.col("count") > HOT // rate).select("word"))
+    # At most one word in HOT postings.
+    cold = _compare_ranges(sets, np.array([r.word for r in hot.collect()], dtype=np.int32), similar)
     if hot.isEmpty():
-        return _compare(posts.select(F.xxhash64("word").alias("g"), F.lit(True).alias("seek"), *POSTING), similar).drop("g").distinct()
-    cold = posts.join(small(hot), "word", "left_anti").select(F.xxhash64("word").alias("g"), F.lit(True).alias("seek"), *POSTING)
+        return cold.distinct()
     placed = cut(_placed(posts.join(small(hot), "word", "left_semi"), similar).withColumn("g", F.xxhash64("word", "m", "part")))
     inner = cut(_compare(placed.select("g", F.lit(True).alias("seek"), *POSTING), similar))
     done = inner.select(F.col("g").alias("dg"), F.struct(F.col("b_id").alias("doc_id"), F.col("b_line").alias("line")).alias("first")).distinct()
@@ -193,38 +205,121 @@ def _first_candidates(sets: DataFrame, similar: float) -> DataFrame:
     earlier = placed.join(small(tiles), ["word", "m"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         F.xxhash64("word", "m", "part", "tile").alias("g"), F.lit(False).alias("seek"), *POSTING)
     outer = _compare(later.union(earlier), similar)
-    return _compare(cold, similar).union(inner).union(outer).drop("g").distinct()
+    return cold.union(inner.union(outer).drop("g")).distinct()
 
 
-def _compare(posts: DataFrame, similar: float) -> DataFrame:
-    """For each posting that seeks one, an earlier one of its group (g) that passes the filters, if there is any.
+def _earlier(part: pa.Table, group: np.ndarray, seek: np.ndarray, similar: float) -> tuple[pa.Array, pa.Array]:
+    """Numbers of an earlier posting of the same group that passes the filters, and of the seeking one, for those that find one.
 
     The sets of a group come in order of place. Each is compared with the one before it, then with the one before that,
     until a candidate is found: near copies of one line find each other at once, so pairs stay in proportion to the sets.
     """
+    n = (part.column("n_at").to_numpy() >> 32).astype(np.int64)
+    rest = n - (part.column("n_at").to_numpy() & 0xFFFFFFFF)
+    p0, p1 = (part.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1"))
+    # The length and positional filters solved for the other size, with some slack.
+    low = np.ceil(similar * n - 1e-6).astype(np.int32)
+    most = np.minimum(np.floor(rest * ((1 + similar) / similar) - n + 1e-6), 0x7FFFFFFF).astype(np.int32)
+    high = np.minimum(np.floor(n / similar + 1e-6), most).astype(np.int32)
+    size = n.astype(np.int32)
+    # Those that have most postings before them come first, so that those still to be compared are a run.
+    before = np.arange(len(group)) - np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
+    b = np.flatnonzero((before > 0) & seek & (low <= high))
+    b = b[np.argsort(-before[b], kind="stable")]
+    found_a, found_b, lag, gone = [], [], 1, np.zeros(len(b), dtype=bool)
+    sizes, lows, highs, firsts = size[b], low[b], high[b], p0[b]
+    ends = np.searchsorted(-before[b], -np.arange(1, before.max(initial=0) + 2), side="right")
+    while (k := ends[lag - 1]) > 0:
+        a = b[:k] - lag
+        other = size.take(a, mode="clip")
+        some = np.flatnonzero((other >= lows[:k]) & (other <= highs[:k]))
+        some = some[(most.take(a.take(some), mode="clip") >= sizes[some]) & ~gone[some]]
+        # Half of the parities rejects most of them.
+        some = some[np.bitwise_count(p0.take(a.take(some)) ^ firsts.take(some)) <= (other.take(some) + sizes.take(some)) * ((1 - similar) / (1 + similar)) + 1e-6]
+        if len(some):
+            x, y = a[some], b[some]
+            need = np.ceil((n[x] + n[y]) * (similar / (1 + similar)) - 1e-9)
+            differ = np.bitwise_count(p0[x] ^ p0[y]).astype(np.int64) + np.bitwise_count(p1[x] ^ p1[y])
+            ok = (np.minimum(n[x], n[y]) >= similar * np.maximum(n[x], n[y]) - 1e-9) & (np.minimum(rest[x], rest[y]) >= need) & (differ <= n[x] + n[y] - 2 * need)
+            found_a.append(x[ok])
+            found_b.append(y[ok])
+            gone[some[ok]] = True
+            if 4 * np.count_nonzero(gone[:k]) > k:
+                b, sizes, lows, highs, firsts = (v[~gone] for v in (b, sizes, lows, highs, firsts))
+                ends, gone = ends - np.concatenate([[0], np.cumsum(gone)])[ends], np.zeros(len(b), dtype=bool)
+        lag += 1
+    x, y = (pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (found_a, found_b))
+    return x, y
+
+
+def _by_range(sets: DataFrame, ranges: int, hot: np.ndarray) -> DataFrame:
+    """The postings of all words but the hot ones: rows of a range of words and an Arrow batch of postings."""
+    def send(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(waiting).combine_chunks()
+        lists = part.column("posts").combine_chunks()
+        word, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        of = np.repeat(np.arange(len(length)), length)
+        at = np.arange(len(word)) + (part.column("skip").to_numpy() - np.cumsum(length) + length)[of]
+        cold = np.flatnonzero(~np.isin(word, hot)) if len(hot) else np.arange(len(word))
+        order = cold[np.argsort(word.view(np.uint32)[cold])]
+        word, of, at = word[order], of[order], at[order]
+        found = (word.view(np.uint32).astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]])) if len(found) else np.zeros(1, np.int64)
+        rows = part.select(["doc_id", "line", "p0", "p1"]).take(pa.array(of))
+        posts = rows.append_column("word", pa.array(word)).append_column("n_at", pa.array((part.column("n").to_numpy().astype(np.int64) << 32)[of] + at)).combine_chunks()
+        packed = []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, posts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(posts.slice(x, y - x))
+            packed.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(found[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["range", "posts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += len(batch.column("posts").flatten())
+            if size >= AT_ONCE:
+                yield send(waiting)
+                waiting, size = [], 0
+        if size:
+            yield send(waiting)
+
+    return sets.select("first.doc_id", "first.line", "n", "skip", "p0", "p1", "posts").mapInArrow(run, "range int, posts binary")
+
+
+def _compare_ranges(sets: DataFrame, hot: np.ndarray, similar: float) -> DataFrame:
+    """For each posting of a word that is not hot, an earlier one of the word that passes the filters, if there is any."""
+    def meet(waiting: list[pa.Table]) -> pa.RecordBatch:
+        part = pa.concat_tables(waiting)
+        part = part.take(pc.sort_indices(part, [("word", "ascending"), ("doc_id", "ascending"), ("line", "ascending")], null_placement="at_start")).combine_chunks()
+        x, y = _earlier(part, part.column("word").to_numpy(), np.ones(len(part), dtype=bool), similar)
+        columns = [part.column(c).combine_chunks() for c in ("doc_id", "line")]
+        return pa.record_batch([*[c.take(x) for c in columns], *[c.take(y) for c in columns]], names=["a_id", "a_line", "b_id", "b_line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for group in sorted_groups(batches, ("range",)):  # small ranges together
+            waiting += [pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("posts")]
+            size += sum(map(len, waiting[-len(group):]))
+            if size >= RANGE // 4:
+                yield meet(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield meet(waiting)
+
+    total = sets.agg(F.sum(F.size("posts"))).first()[0] or 0
+    kind = sets.schema["first"].dataType["doc_id"].dataType.simpleString()
+    return _by_range(sets, max(RANGES, total // RANGE), hot).repartition("range").sortWithinPartitions("range").mapInArrow(run, f"a_id {kind}, a_line int, b_id {kind}, b_line int")
+
+
+def _compare(posts: DataFrame, similar: float) -> DataFrame:
+    """For each posting that seeks one, an earlier one of its group (g) that passes the filters, if there is any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sorted_chunks(batches, ("g",)):
             word = part.column("g").to_numpy()
-            n = (part.column("n_at").to_numpy() >> 32).astype(np.int64)
-            rest = n - (part.column("n_at").to_numpy() & 0xFFFFFFFF)
-            p0, p1 = (part.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1"))
-            start = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
-            b = np.flatnonzero((start < np.arange(len(word))) & part.column("seek").to_numpy())
-            found_a, found_b, lag = [], [], 1
-            while len(b):
-                a = b - lag
-                need = np.ceil((n[a] + n[b]) * (similar / (1 + similar)) - 1e-9)
-                ok = (np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-9) & (np.minimum(rest[a], rest[b]) >= need)
-                some = np.flatnonzero(ok)
-                x, y = a[some], b[some]
-                differ = np.bitwise_count(p0[x] ^ p0[y]).astype(np.int64) + np.bitwise_count(p1[x] ^ p1[y])
-                ok[some] = differ <= n[x] + n[y] - 2 * need[some]
-                found_a.append(a[ok])
-                found_b.append(b[ok])
-                lag += 1
-                b = b[~ok]
-                b = b[b - lag >= start[b]]
-            x, y = (pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (found_a, found_b))
+            x, y = _earlier(part, word, part.column("seek").to_numpy(), similar)
             columns = [part.column(c).combine_chunks() for c in ("doc_id", "line")]
             yield pa.record_batch([pa.array(word).take(y), *[c.take(x) for c in columns], *[c.take(y) for c in columns]], names=["g", "a_id", "a_line", "b_id", "b_line"])
 
@@ -245,78 +340,64 @@ def _all_candidates(sets: DataFrame, later: DataFrame, similar: float) -> DataFr
         F.col("a.doc_id").alias("a_id"), F.col("a.line").alias("a_line"), F.col("b.doc_id").alias("b_id"), F.col("b.line").alias("b_line")).distinct()
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """Of the pairs of places, those whose lines reach the similarity: key of the later set, earliest place of a match."""
-    ends = cut(pairs.select(F.col("a_id").alias("end_id"), F.col("a_line").alias("end_line")).union(pairs.select("b_id", "b_line")).distinct())
-    # Rows with equal ids may differ at a place: the set's key decides.
-    wanted = cut(sets.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "h1", "h2").join(ends, F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("line") == F.col("end_line")), "left_semi"))
-    ids = cut(ends.select(F.col("end_id").alias("want_id")).distinct())
+def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """Keys of the later lines of the pairs of places, with the earliest place of a match; null if none reaches the similarity.
+
+    Rows with equal ids may differ at a place: then each of them is compared, and what matches is a line of that place.
+    """
+    ends = pairs.select(F.col("a_id").alias("want_id"), F.col("a_line").alias("want")).union(pairs.select("b_id", "b_line"))
+    wanted = cut(ends.groupBy("want_id").agg(F.collect_set("want").alias("want")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, "_text")):
             words, at, row, number = _lines(batch.column("_text"))
             if len(at) < 2:
                 continue
+            want = batch.column("want")
+            asked = np.repeat(np.arange(len(batch)), want.value_lengths().to_numpy()) << 32 | want.flatten().to_numpy()
+            some = np.flatnonzero(np.isin(row << 32 | number, asked))
+            if not len(some):
+                continue
             h1, h2 = _set_keys(words, at)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists],
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64))).take(pa.array(some))
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(row[some])), pa.array(number[some].astype(np.int32)), pa.array(h1[some].view(np.int64)), pa.array(h2[some].view(np.int64)), lists],
                                   names=["doc_id", "line", "h1", "h2", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    again = docs.select("doc_id", F.col("text").alias("_text")).join(small(ids), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
+    again = docs.select("doc_id", F.col("text").alias("_text")).join(small(wanted), F.col("doc_id").eqNullSafe(F.col("want_id"))).select("doc_id", "_text", "want")
     lines = again.mapInArrow(read, f"doc_id {kind}, line int, h1 long, h2 long, words array<long>")
-    wanted = wanted.toDF("want_id", "want_line", "want1", "want2")
-    same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("line") == F.col("want_line")) & (F.col("h1") == F.col("want1")) & (F.col("h2") == F.col("want2"))
-    members = cut(lines.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "line", "h1", "h2"]))
-    # The same columns on both sides, so that one exchange of the words serves both joins.
-    a = members.toDF("a_id_", "a_line_", "a1", "a2", "aw")
-    b = members.toDF("b_id_", "b_line_", "h1", "h2", "bw")
+    # One exchange of the words, by place, serves both joins.
+    members = lines.select(F.struct("doc_id", "line").alias("place"), "h1", "h2", "words").repartition("place").dropDuplicates(["place", "h1", "h2"])
+    a = members.toDF("a", "a1", "a2", "aw")
+    b = members.toDF("b", "h1", "h2", "bw")
     both = F.size(F.array_intersect("aw", "bw"))
-    at = lambda x: F.col(f"{x}_id").eqNullSafe(F.col(f"{x}_id_")) & (F.col(f"{x}_line") == F.col(f"{x}_line_"))
-    return pairs.join(a, at("a")).join(b, at("b")).where(both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)).groupBy("h1", "h2").agg(
-        F.min(F.struct(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line"))).alias("other"))
+    match = both >= similar * (F.size("aw") + F.size("bw") - both) - F.lit(1e-9)
+    places = pairs.select(F.struct(F.col("a_id").alias("doc_id"), F.col("a_line").alias("line")).alias("a"), F.struct(F.col("b_id").alias("doc_id"), F.col("b_line").alias("line")).alias("b"))
+    return places.join(a, "a").join(b, "b").groupBy("h1", "h2").agg(F.min(F.when(match, F.col("a"))).alias("other"))
 
 
 def matched_sets(docs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Keys of all sets that an earlier set matches, and the place of such a match."""
-    pairs = cut(_first_candidates(sets, similar))
-    matched = cut(_verified(docs, sets, pairs, similar))
+    tried = cut(_verified(docs, cut(_first_candidates(sets, similar)), similar))
+    matched = tried.where("other IS NOT NULL")
     # Sets whose candidates all failed: the filters let other ones through as well, so all of theirs are tried.
-    tried = pairs.select(F.struct(F.col("b_id").alias("doc_id"), F.col("b_line").alias("line")).alias("first")).distinct()
-    open_sets = cut(sets.join(tried, "first", "left_semi").join(matched, ["h1", "h2"], "left_anti"))
-    if open_sets.isEmpty():
+    failed = cut(tried.where("other IS NULL").select("h1", "h2"))
+    if failed.isEmpty():
         return matched
-    return matched.union(_verified(docs, sets, cut(_all_candidates(sets, open_sets, similar)), similar))
+    open_sets = cut(sets.join(small(failed), ["h1", "h2"], "left_semi"))
+    return matched.union(cut(_verified(docs, cut(_all_candidates(sets, open_sets, similar)), similar)).where("other IS NOT NULL"))
 
 
 def removed_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id and number of every line that an earlier line matches."""
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
-    rows = _line_sets(docs, counts, similar)
+    lines = cut(_line_sets(docs, counts, similar))
+    counts.destroy()  # the lines are written
     # One row for each set; of its copies in a task, only the first place travels.
-    sets = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("posts").alias("posts")))
-    counts.destroy()  # the table of sets is written
-    earliest = matched_sets(docs, sets, similar)
+    sets = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("posts").alias("posts")))
     # A set of one line that nothing matches keeps it.
-    limits = cut(sets.select("h1", "h2", "first", "copies").join(earliest, ["h1", "h2"], "left").where("copies > 1 OR other IS NOT NULL").select("h1", "h2", F.least("first", "other").alias("limit")))
-    places = _line_sets_places(docs)
-    return places.join(limits, ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("limit")).select("doc_id", "text_key", "line")
-
-
-def _line_sets_places(docs: DataFrame) -> DataFrame:
-    """Key and place of every line; text_key tells rows with equal ids apart."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, "_text")):
-            words, at, row, number = _lines(batch.column("_text"))
-            if len(at) < 2:
-                continue
-            h1, h2 = _set_keys(words, at)
-            yield pa.record_batch([*[batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_key")], pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                                  names=["doc_id", "text_key", "line", "h1", "h2"])
-
-    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("_text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, text_key long, line int, h1 long, h2 long")
+    limits = cut(sets.where("copies > 1").select("h1", "h2", "first").union(matched_sets(docs, sets, similar)).groupBy("h1", "h2").agg(F.min("first").alias("limit")))
+    return lines.join(limits, ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("limit")).select("doc_id", "text_key", "line")
 
 
 def removed_by_document(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

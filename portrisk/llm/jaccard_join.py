@@ -45,6 +45,8 @@ SMALL = 64
 MAY_MATCH = 38
 TILE_NODES = 256
 TILE_BYTES = 8_000_000
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 
 _RNG = np.random.default_rng(8)
 _FLIPS = _RNG.integers(0, 1 << 32, size=HASHES, dtype=np.uint64).astype(np.uint32)
@@ -74,7 +76,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, "_text")):
+        for batch in (x for b in batches for x in slices(b, "_text", SLICE)):
             nodes, sketches, sizes = [], [], []
             for s in _sets(batch.column("_text"), k):
                 nodes.append(set_key(s))
@@ -142,8 +144,9 @@ def _ties(nodes: DataFrame, runs: int) -> DataFrame:
     now = cut(_split(start.select(F.xxhash64("run").alias("bucket"), "node", "sketch")))
     found = []
     for level in range(1, DEPTH + 1):
-        sizes = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-        sized = now.join(sizes, "bucket")
+        # Counts alone are summed in hash maps; a least node makes Spark sort all rows, twice.
+        sizes = [F.count(F.lit(1)).alias("size"), *([F.min("node").alias("least")] if level == DEPTH else [])]
+        sized = now.join(now.groupBy("bucket").agg(*sizes).where("size > 1"), "bucket")
         if level == DEPTH:
             found.append(sized.where(F.col("size") > SMALL).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
         met = cut(sized.join(nodes.select("node", "sketch"), "node"))
@@ -220,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, r
     wanted = cut(nodes.join(loose, "node").select("node", "root", F.col("first_id").alias("want_id")))
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, "_text")):
+        for batch in (x for b in batches for x in slices(b, "_text", SLICE)):
             sets = list(_sets(batch.column("_text"), k))
             yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 

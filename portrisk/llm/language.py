@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import sampled
-from portrisk.llm.words import mix
+from portrisk.llm.common import bound_batches, sampled
+from portrisk.llm.words import mix, slices
 
 SAMPLE = 3000
 MIN_SHARE = 2e-5
@@ -187,11 +187,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter | None:
 def identify(docs: DataFrame, model: LanguageFilter | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns keep of every row, with lang_pred and score (under names) of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
     text = "text" if "text" in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, text)):
             langs: list[str] = []
             scores: list[float] = []
             for _, part in _blocks(batch.column(text).to_pylist()):

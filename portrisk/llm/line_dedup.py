@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portrisk.llm.common import cut, fresh, small, sorted_chunks, sorted_groups
+from portrisk.llm.common import bound_batches, cut, fresh, small, sorted_chunks, sorted_groups
 from portrisk.llm.words import column_words, mix, slices, text_buffer, words_of
 
 SIMILAR = 0.8
@@ -44,6 +44,10 @@ POSTING = ("doc_id", "line", "n_at", "p0", "p1")
 RANGES = 1024
 RANGE = 500_000
 AT_ONCE = 1_000_000
+#: Ranges whose postings are copied at once, of those a task sends.
+RANGES_AT_ONCE = 64
+#: Bytes of text that a task works on at once; its arrays of a number a word hold about 20 times as much.
+SLICE = 1 << 20
 #: Removed line numbers that may be broadcast: 16 MB.
 BROADCAST_LINES = 4_000_000
 
@@ -86,15 +90,11 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     A task sends its cells in compressed blocks, and a block is summed as its rows stream by.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(1 << RARITY_BITS, dtype=np.int64), [], 0
-        for batch in (x for b in batches for x in slices(b, "_text")):
-            waiting.append((column_words(batch.column("_text"))[0] >> np.uint64(64 - RARITY_BITS)).astype(np.uint32))
-            size += len(waiting[-1])
-            if size > len(total):
-                total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                waiting, size = [], 0
-        total += np.bincount(np.concatenate([np.zeros(0, np.uint32), *waiting]), minlength=len(total))
-        blocks = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
+        total = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
+        for batch in (x for b in batches for x in slices(b, "_text", SLICE)):
+            cells, times = np.unique((column_words(batch.column("_text"))[0] >> np.uint64(64 - RARITY_BITS)).astype(np.uint32), return_counts=True)
+            total[cells] = np.minimum(total[cells] + times, 0xFFFFFFFF)
+        blocks = total.reshape(-1, 1 << BLOCK_BITS)
         some = np.flatnonzero(blocks.any(axis=1))
         yield pa.record_batch([pa.array(some), pa.array([pa.compress(blocks[i].tobytes(), codec="zstd", asbytes=True) for i in some], pa.binary())], names=["block", "cells"])
 
@@ -117,6 +117,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     counts = docs.select(F.col("text").alias("_text")).mapInArrow(run, "block long, cells binary")
     blocks = counts.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, cells binary")
     out = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
+    bound_batches(docs.sparkSession)
     for r in blocks.collect():  # at most 2^RARITY_BITS bytes, whatever the corpus
         out[r["block"] << BLOCK_BITS: (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["cells"], dtype=np.uint8)
     return out
@@ -129,7 +130,7 @@ def _line_sets(docs: DataFrame, counts, similar: float) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
-        for batch in (x for b in batches for x in slices(b, "_text")):
+        for batch in (x for b in batches for x in slices(b, "_text", SLICE)):
             words, at, row, number = _lines(batch.column("_text"))
             if len(at) < 2:
                 continue
@@ -258,21 +259,24 @@ def _by_range(sets: DataFrame, ranges: int, hot: np.ndarray) -> DataFrame:
         part = pa.Table.from_batches(waiting).combine_chunks()
         lists = part.column("posts").combine_chunks()
         word, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        of = np.repeat(np.arange(len(length)), length)
-        at = np.arange(len(word)) + (part.column("skip").to_numpy() - np.cumsum(length) + length)[of]
+        of = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        at = np.arange(len(word), dtype=np.int32) + (part.column("skip").to_numpy() - np.cumsum(length) + length).astype(np.int32)[of]
         cold = np.flatnonzero(~np.isin(word, hot)) if len(hot) else np.arange(len(word))
         order = cold[np.argsort(word.view(np.uint32)[cold])]
         word, of, at = word[order], of[order], at[order]
         found = (word.view(np.uint32).astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
         edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]])) if len(found) else np.zeros(1, np.int64)
-        rows = part.select(["doc_id", "line", "p0", "p1"]).take(pa.array(of))
-        posts = rows.append_column("word", pa.array(word)).append_column("n_at", pa.array((part.column("n").to_numpy().astype(np.int64) << 32)[of] + at)).combine_chunks()
+        rows, n = part.select(["doc_id", "line", "p0", "p1"]), part.column("n").to_numpy().astype(np.int64) << 32
         packed = []
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, posts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(posts.slice(x, y - x))
-            packed.append(sink.getvalue().to_pybytes())
+        for k in range(0, len(edges) - 1, RANGES_AT_ONCE):
+            bounds = edges[k: k + RANGES_AT_ONCE + 1]
+            here = slice(bounds[0], bounds[-1])
+            posts = rows.take(pa.array(of[here])).append_column("word", pa.array(word[here])).append_column("n_at", pa.array(n[of[here]] + at[here])).combine_chunks()
+            for x, y in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, posts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(posts.slice(x, y - x))
+                packed.append(sink.getvalue().to_pybytes())
         return pa.record_batch([pa.array(found[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["range", "posts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +353,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     wanted = cut(ends.groupBy("want_id").agg(F.collect_set("want").alias("want")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, "_text")):
+        for batch in (x for b in batches for x in slices(b, "_text", SLICE)):
             words, at, row, number = _lines(batch.column("_text"))
             if len(at) < 2:
                 continue

@@ -6,11 +6,12 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from portrisk.llm import html_text, language, mixing, toxicity
-from portrisk.llm.common import sample_limit, sampled
+from portrisk.llm import html_text, jaccard_join, language, line_dedup, mixing, toxicity
+from portrisk.llm.common import cut, sample_limit, sampled
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -131,3 +132,25 @@ def test_a_megabyte_of_tags(part):
     start = time.process_time()
     html_text.main_text(part * ((1 << 20) // len(part)) + '"')
     assert time.process_time() - start < 4
+
+
+@pytest.mark.parametrize("run", [
+    lambda docs: cut(docs),
+    lambda docs: jaccard_join.near_duplicates(docs).count(),
+    lambda docs: line_dedup.word_counts(docs),
+    lambda docs: language.identify(docs, None).count(),
+])
+def test_batches_of_long_texts_are_bounded(spark, run):
+    def batch_bytes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    key, session = "spark.sql.execution.arrow.maxBytesPerBatch", spark.newSession()
+    docs = session.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), 1000).alias("text"))
+    assert session.conf.get(key, None) is None
+    run(docs.where("doc_id < 20"))
+    sizes = [r.n for r in docs.mapInArrow(batch_bytes, "n long").collect()]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 5 << 20
+    session.conf.set(key, "1m")
+    cut(docs.limit(1))
+    assert session.conf.get(key) == "1m"
